@@ -17,8 +17,9 @@ def number_within(
     out: str,
     rows_per_group: int | None = None,
     limit: int = TASK_ROWS,
+    size_out: str | None = None,
 ) -> DataFrame:
-    """Add ``out`` = 1, 2, ... within each ``keys`` group in the given order.
+    """Add ``out`` = 1, 2, ... within each ``keys`` group in the given order, and its size as ``size_out``.
 
     ``rows_per_group`` is a bound the caller has proved (the size of a dimension table, say). When it
     fits one task, this is ``row_number``. Otherwise no group is gathered: the rows are range sorted
@@ -26,8 +27,9 @@ def number_within(
     of its group in the partitions before.
     """
     if rows_per_group is not None and rows_per_group <= limit:
-        window = Window.partitionBy(*keys).orderBy(*order) if keys else Window.partitionBy(F.lit(0)).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(window))
+        group = Window.partitionBy(*keys)
+        numbered = df.withColumn(out, F.row_number().over(group.orderBy(*order)))
+        return numbered.withColumn(size_out, F.count(F.lit(1)).over(group)) if size_out else numbered
 
     by = [F.col(k) for k in keys] + order
     sorted_rows = df.repartitionByRange(*by).sortWithinPartitions(*by)
@@ -40,9 +42,11 @@ def number_within(
     )
     # One row per group and partition it reaches into, so this window holds few rows per group.
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = first_places.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
+    offsets = first_places.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    if size_out:
+        offsets = offsets.withColumn(size_out, F.sum("_rows").over(Window.partitionBy(*keys)))
     return (
         placed.join(offsets, [*keys, "_part"])
-        .withColumn(out, (F.col("_place") - F.col("_first") + F.col("_before") + 1).cast("int"))
-        .drop("_place", "_part", "_first", "_before")
+        .withColumn(out, F.col("_place") - F.col("_first") + F.col("_before") + 1)
+        .drop("_place", "_part", "_first", "_before", "_rows")
     )

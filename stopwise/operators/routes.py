@@ -135,7 +135,8 @@ def _number_long(stops: DataFrame, keys: list[str], depot, ties, limit: int) ->
     walked = _walk_sites(sites, keys, depot, limit)
     numbered = stops.join(walked, place)
     order = [F.col("site_seq"), *[F.col(t) for t in ties]]
-    return number_within(numbered, keys, order, "visit_seq", limit=limit).drop("site_seq")
+    seq = number_within(numbered, keys, order, "visit_seq", limit=limit)
+    return seq.withColumn("visit_seq", F.col("visit_seq").cast("int")).drop("site_seq")
 
 
 def _walk_sites(sites: DataFrame, keys: list[str], depot, limit: int) -> DataFrame:

@@ -55,7 +55,7 @@ def broadcast_checked(df: DataFrame, rows: int, limit: int = TASK_ROWS) -> DataF
 
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``; runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def catalyst_broadcasts(df: DataFrame) -> bool:

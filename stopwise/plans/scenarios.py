@@ -61,9 +61,6 @@ SCENARIOS = {
     )
 }
 
-# No scenario looks further back or ahead of its report day than this.
-REACH_BACK, REACH_AHEAD = timedelta(days=5), timedelta(days=7)
-
 
 def find_scenario(name: str) -> Scenario:
     if name not in SCENARIOS:
@@ -126,7 +123,8 @@ def scenario(
         rows = daily.join(dates, "departure_date").join(people, "customer_id")
     else:
         dates = calendar.days.withColumn("departure_date", F.explode(week_mon_tue(F.col("as_of"))))
-        first, last = calendar.first - REACH_BACK, calendar.last + timedelta(days=2)
+        # From the Monday before a Saturday to the Tuesday after a Sunday.
+        first, last = calendar.first - timedelta(days=5), calendar.last + timedelta(days=2)
         mon_tue = F.dayofweek(F.col("departure_ts")).isin(2, 3)
         groups = delivery_groups(deliveries, ops, statuses, first, last, group, mon_tue)
         daily = earliest(groups, ["customer_id", "departure_date"], ties)
