@@ -20,8 +20,8 @@ from stopwise.functions.text import strip
 def cyclic_color(index: Column) -> Column:
     """The route colours taken in turn; no index, no colour of its own."""
     names = F.array(*[F.lit(c) for c in ROUTE_COLORS])
-    slot = F.pmod(index, F.lit(len(ROUTE_COLORS))).cast("int") + 1
-    return F.coalesce(F.element_at(names, slot), F.lit(NO_ROUTE_COLOR))
+    slot = F.pmod(index, F.lit(len(ROUTE_COLORS))).cast("int")
+    return F.when(index.isNotNull(), F.get(names, slot)).otherwise(F.lit(NO_ROUTE_COLOR))
 
 
 def hsv_hex(hue: Column, saturation: float, value: float, rounded: bool = False) -> Column:

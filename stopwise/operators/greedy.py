@@ -13,6 +13,8 @@ import numpy as np
 from stopwise.constants import EARTH_RADIUS_KM
 
 _LEAF = 256
+# Routes up to this long are cheaper to walk side by side than one by one.
+SHORT = 256
 _DIAMETER_KM = 2 * EARTH_RADIUS_KM
 # Safety margin for comparing a leaf bound, computed from unit vectors, with a measured distance.
 _RELATIVE, _ABSOLUTE = 1 + 1e-9, 1e-14
@@ -90,19 +92,42 @@ def greedy_walk(
     return np.asarray(order, dtype=np.int64), here
 
 
-def greedy_order(
-    lat: np.ndarray, lon: np.ndarray, block: np.ndarray, start: tuple[float, float]
+def walk_side_by_side(
+    lat: np.ndarray, lon: np.ndarray, block: np.ndarray, route: np.ndarray, start: tuple[float, float]
 ) -> np.ndarray:
-    """Visit order of one route: block after block, each walk starting where the last one ended.
+    """Visit numbers of many short routes, one step of all of them at a time.
 
-    The stops come sorted by block and then by tie-break; coordinates are in radians.
+    The stops come sorted by ``route`` (0, 1, ...), block and tie-break; coordinates are in radians.
     """
-    if len(lat) == 1:
-        return np.zeros(1, dtype=np.int64)
+    visit = np.zeros(len(lat), dtype=np.int32)
+    here_lat, here_lon = (np.full(int(route[-1]) + 1, at) for at in start)
+    left, step = np.arange(len(lat)), 0
+    while len(left):
+        step += 1
+        of = route[left]
+        first = np.concatenate([[True], of[1:] != of[:-1]])
+        begins, group = np.flatnonzero(first), np.cumsum(first) - 1
+        distance = _distance_km(lat[left], lon[left], here_lat[of], here_lon[of])
+        distance[block[left] != block[left[begins]][group]] = np.inf
+        nearest = np.flatnonzero(distance == np.minimum.reduceat(distance, begins)[group])
+        chosen = nearest[np.concatenate([[True], group[nearest][1:] != group[nearest][:-1]])]
+        taken = left[chosen]
+        visit[taken] = step
+        here_lat[of[begins]], here_lon[of[begins]] = lat[taken], lon[taken]
+        left = np.delete(left, chosen)
+    return visit
+
+
+def walk_blocks(lat: np.ndarray, lon: np.ndarray, block: np.ndarray, start: tuple[float, float]) -> np.ndarray:
+    """Visit numbers of one route: block after block, each walk starting where the last one ended.
+
+    The stops come sorted by block and tie-break; coordinates are in radians.
+    """
+    visit = np.zeros(len(lat), dtype=np.int32)
     ends = [*(np.flatnonzero(block[1:] != block[:-1]) + 1), len(block)]
-    parts, begin, here = [], 0, start
+    begin, here = 0, start
     for end in ends:
         order, here = greedy_walk(lat[begin:end], lon[begin:end], here)
-        parts.append(order + begin)
+        visit[begin + order] = np.arange(begin + 1, end + 1)
         begin = end
-    return np.concatenate(parts)
+    return visit

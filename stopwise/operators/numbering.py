@@ -28,7 +28,7 @@ def number_within(
     """
     if rows_per_group is not None and rows_per_group <= limit:
         group = Window.partitionBy(*keys)
-        numbered = df.withColumn(out, F.row_number().over(group.orderBy(*order)))
+        numbered = df.withColumn(out, F.row_number().over(group.orderBy(*order)).cast("bigint"))
         return numbered.withColumn(size_out, F.count(F.lit(1)).over(group)) if size_out else numbered
 
     by = [F.col(k) for k in keys] + order

@@ -8,16 +8,21 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import stopwise
 from stopwise.functions.geo import haversine_km, in_range, is_point
 from stopwise.functions.text import priority_block
-from stopwise.operators.greedy import greedy_order, greedy_walk
+from stopwise.operators.greedy import SHORT, greedy_walk, walk_blocks, walk_side_by_side
 from stopwise.operators.numbering import number_within
 from stopwise.operators.storage import Scratch, broadcast_checked
 
+# The walk travels to the executors with the query, so they need not have this package installed.
+register_pickle_by_value(stopwise)
+
 # Stops that one task may hold as one route. Longer routes are walked in several rounds.
 ROUTE_ROWS = 200_000
 
@@ -112,11 +117,15 @@ def _sequence_batches(batches: Iterator[pa.RecordBatch], depot: tuple[float, flo
         lat, lon = np.radians(_numpy(table, "lat")), np.radians(_numpy(table, "lon"))
         block = _numpy(table, "block")
         begins = np.flatnonzero(_numpy(table, "visit_seq") == 1)
+        sizes = np.diff([*begins, len(lat)])
         visit = np.ones(len(lat), dtype=np.int32)
-        for begin, end in zip(begins, [*begins[1:], len(lat)]):
-            if end - begin > 1:
-                order = greedy_order(lat[begin:end], lon[begin:end], block[begin:end], start)
-                visit[begin + order] = np.arange(1, end - begin + 1)
+        short = np.repeat((sizes > 1) & (sizes <= SHORT), sizes)
+        if short.any():
+            route = np.repeat(np.arange(len(sizes)), sizes)[short]
+            visit[short] = walk_side_by_side(lat[short], lon[short], block[short], route, start)
+        for begin, size in zip(begins[sizes > SHORT], sizes[sizes > SHORT]):
+            stops = slice(begin, begin + size)
+            visit[stops] = walk_blocks(lat[stops], lon[stops], block[stops], start)
         yield from _replace(table, "visit_seq", visit).to_batches()
 
 

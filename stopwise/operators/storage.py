@@ -60,6 +60,5 @@ def planned_bytes(df: DataFrame) -> int:
 
 def catalyst_broadcasts(df: DataFrame) -> bool:
     """Whether Catalyst's own size check would already broadcast ``df``."""
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    limit = df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     return planned_bytes(df) <= limit

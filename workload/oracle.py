@@ -258,7 +258,7 @@ kinds AS (SELECT facet, bool_and(TRY_CAST(value AS HUGEINT) IS NOT NULL) AS is_n
 facet_values AS (
   SELECT c.facet AS facet, value, CAST(row_number() OVER (
     PARTITION BY c.facet ORDER BY CASE WHEN is_number THEN TRY_CAST(value AS HUGEINT) END, upper(value), value
-  ) AS INTEGER) AS position
+  ) AS BIGINT) AS position
   FROM choices AS c JOIN kinds AS k ON k.facet = c.facet)"""
 
 SHOWN = f"""{MASTER},
@@ -291,7 +291,7 @@ def palette(names: str, order: str, rounded: bool) -> str:
     """Palette over the relation ``names(name)``."""
     hue = "CAST(position AS DOUBLE) / CAST(total AS DOUBLE)"
     return f"""
-    SELECT name, CAST(position AS INTEGER) AS position, {hsv(hue, 0.75, 0.9, rounded)} AS color
+    SELECT name, CAST(position AS BIGINT) AS position, {hsv(hue, 0.75, 0.9, rounded)} AS color
     FROM (SELECT name, row_number() OVER (ORDER BY {order}) - 1 AS position, count(*) OVER () AS total FROM ({names}))"""
 
 
@@ -326,7 +326,7 @@ entries AS (
   SELECT as_of, {key} AS entry_key, min(departure_ts) AS first_departure, sum(revenue) AS entry_revenue
   FROM report WHERE {key} IS NOT NULL GROUP BY as_of, {key}),
 numbered AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY as_of ORDER BY first_departure, entry_key) - 1 AS INTEGER) AS position
+  SELECT *, CAST(row_number() OVER (PARTITION BY as_of ORDER BY first_departure, entry_key) - 1 AS BIGINT) AS position
   FROM entries)
 SELECT t.as_of AS as_of, total_customers, round(total_revenue, 2) AS total_revenue,
   {money("total_revenue")} AS total_text, {shown_date.replace("as_of", "t.as_of")} AS legend_date, position,
@@ -359,13 +359,13 @@ SELECT as_of, driver_name, round(sum(revenue), 2) AS revenue FROM report GROUP B
     "route_palette": f"""WITH {report_ctes("next_day_by_driver")},
 firsts AS (SELECT as_of, driver_name, min(departure_ts) AS first_departure FROM report GROUP BY as_of, driver_name),
 numbered AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY as_of ORDER BY first_departure, driver_name) - 1 AS INTEGER) AS position
+  SELECT *, CAST(row_number() OVER (PARTITION BY as_of ORDER BY first_departure, driver_name) - 1 AS BIGINT) AS position
   FROM firsts)
 SELECT *, {_COLOR_LIST}[position % {len(ROUTE_COLORS)} + 1] AS color FROM numbered""",
     "date_palette": f"""WITH {report_ctes("six_day_by_date")},
 numbered AS (
   SELECT as_of, departure_ts,
-    CAST(row_number() OVER (PARTITION BY as_of ORDER BY departure_ts) - 1 AS INTEGER) AS position
+    CAST(row_number() OVER (PARTITION BY as_of ORDER BY departure_ts) - 1 AS BIGINT) AS position
   FROM (SELECT DISTINCT as_of, departure_ts FROM report))
 SELECT *, {_COLOR_LIST}[position % {len(ROUTE_COLORS)} + 1] AS color FROM numbered""",
     "bounding_boxes": f"""WITH {report_ctes("six_day_by_date")}

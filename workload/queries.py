@@ -102,7 +102,7 @@ def driver_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 def _legend(name: str, spark: SparkSession, sf: str) -> DataFrame:
     rows = reports.legend(report(name, spark, sf), name, customer_count(spark, sf))
-    return _rounded(rows, 2, "total_revenue", "entry_revenue").withColumn("position", F.col("position").cast("int"))
+    return _rounded(rows, 2, "total_revenue", "entry_revenue")
 
 
 def route_palette(spark: SparkSession, sf: str) -> DataFrame:
