@@ -8,11 +8,13 @@ every remaining stop.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from stopwise.constants import EARTH_RADIUS_KM
 
-_LEAF = 256
+_LEAF = 96
 # Routes up to this long are cheaper to walk side by side than one by one.
 SHORT = 256
 _DIAMETER_KM = 2 * EARTH_RADIUS_KM
@@ -21,27 +23,65 @@ _RELATIVE, _ABSOLUTE = 1 + 1e-9, 1e-14
 
 
 def _distance_km(lat: np.ndarray, lon: np.ndarray, from_lat: float, from_lon: float) -> np.ndarray:
-    chord = np.sin((lat - from_lat) / 2) ** 2 + np.cos(from_lat) * np.cos(lat) * np.sin((lon - from_lon) / 2) ** 2
+    half_lat, half_lon = np.sin((lat - from_lat) / 2), np.sin((lon - from_lon) / 2)
+    chord = half_lat * half_lat + np.cos(from_lat) * np.cos(lat) * (half_lon * half_lon)
     return _DIAMETER_KM * np.arcsin(np.minimum(1.0, np.sqrt(chord)))
 
 
-def _leaves(points: np.ndarray) -> list[np.ndarray]:
-    """Split points at the median of their widest axis until the parts are small."""
-    done, open_parts = [], [np.arange(len(points))]
-    while open_parts:
-        part = open_parts.pop()
-        if len(part) <= _LEAF:
-            done.append(np.sort(part))
-            continue
-        axis = np.argmax(np.ptp(points[part], axis=0))
-        half = len(part) // 2
-        split = part[np.argpartition(points[part, axis], half)]
-        open_parts += [split[:half], split[half:]]
-    return done
+def _unit_vectors(lat, lon) -> np.ndarray:
+    return np.array([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+
 
+class _Leaves:
+    """Stops not yet visited, in leaves of neighbouring points with a box around each."""
 
-def _unit_vectors(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=-1)
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, stops: np.ndarray):
+        self.lat, self.lon = lat, lon
+        points = _unit_vectors(lat[stops], lon[stops])
+        size = max(_LEAF, int(np.sqrt(len(stops))))
+        parts, whole = [np.arange(len(stops))], []
+        while parts:
+            part = parts.pop()
+            if len(part) <= size:
+                whole.append(part)
+                continue
+            axis = np.argmax(np.ptp(points[:, part], axis=1))
+            half = len(part) // 2
+            split = part[np.argpartition(points[axis, part], half)]
+            parts += [split[:half], split[half:]]
+        # In input order within a leaf, so that the first minimum is the first in input.
+        self.stops = [np.sort(stops[part]) for part in whole]
+        self.low = np.stack([points[:, part].min(axis=1) for part in whole], axis=1)
+        self.high = np.stack([points[:, part].max(axis=1) for part in whole], axis=1)
+
+    def _bounds(self, here: tuple[float, float]) -> np.ndarray:
+        """No stop of a leaf is nearer than this, as the squared length of a chord of the unit sphere."""
+        at = _unit_vectors(*here)[:, None]
+        gap = np.maximum(self.low - at, at - self.high)
+        np.maximum(gap, 0.0, out=gap)
+        return np.einsum("ij,ij->j", gap, gap)
+
+    def nearest(self, here: tuple[float, float]) -> tuple[float, int, int]:
+        """Distance, stop and leaf of the nearest stop; the first in input among equals."""
+        bounds = self._bounds(here) if len(self.stops) > 1 else np.zeros(1)
+        found, reach = (np.inf, -1, -1), np.inf
+        leaf = int(bounds.argmin())
+        while bounds[leaf] < np.inf and bounds[leaf] <= reach:
+            stops = self.stops[leaf]
+            distance = _distance_km(self.lat[stops], self.lon[stops], *here)
+            first = int(distance.argmin())
+            if found[1] < 0 or (distance[first], stops[first]) < found[:2]:
+                found = (float(distance[first]), int(stops[first]), leaf)
+                reach = (2 * math.sin(found[0] / _DIAMETER_KM) * _RELATIVE + _ABSOLUTE) ** 2
+            bounds[leaf] = np.inf
+            leaf = int(bounds.argmin())
+        return found
+
+    def remove(self, stop: int, leaf: int) -> None:
+        stops = self.stops[leaf]
+        self.stops[leaf] = stops[stops != stop]
+        if len(stops) == 1:
+            self.low[:, leaf] = np.inf
 
 
 def greedy_walk(
@@ -53,42 +93,21 @@ def greedy_walk(
     within that distance of the start, and the walk ends where a stop beyond it might be nearer.
     Returns the visited positions and the last location.
     """
-    if len(lat) == 0:
-        return np.empty(0, dtype=np.int64), start
-    points = _unit_vectors(lat, lon)
-    leaves = _leaves(points)
-    low = np.stack([points[leaf].min(axis=0) for leaf in leaves])
-    high = np.stack([points[leaf].max(axis=0) for leaf in leaves])
     order, here = [], start
-    for _ in range(len(lat)):
-        if len(leaves) == 1:
-            bound, by_bound = None, (0,)
-        else:
-            at = _unit_vectors(*map(np.asarray, here))
-            gap = np.maximum(0.0, np.maximum(low - at, at - high))
-            bound = np.sqrt((gap * gap).sum(axis=1))
-            by_bound = np.argsort(bound)
-        best_km, best, best_leaf = np.inf, -1, -1
-        for number in by_bound:
-            if bound is not None and best >= 0:
-                chord = 2 * np.sin(best_km / _DIAMETER_KM)
-                if bound[number] > chord * _RELATIVE + _ABSOLUTE:
-                    break
-            leaf = leaves[number]
-            if len(leaf) == 0:
-                continue
-            distance = _distance_km(lat[leaf], lon[leaf], *here)
-            nearest = int(np.argmin(distance))
-            if best < 0 or (distance[nearest], leaf[nearest]) < (best_km, best):
-                best_km, best, best_leaf = distance[nearest], int(leaf[nearest]), number
-        if order and np.isfinite(reach_km):
-            from_start = _distance_km(np.asarray(here[0]), np.asarray(here[1]), *start)
-            if best_km * _RELATIVE >= reach_km - from_start:
-                break
-        order.append(best)
-        here = (lat[best], lon[best])
-        leaf = leaves[best_leaf]
-        leaves[best_leaf] = leaf[leaf != best]
+    left = np.arange(len(lat))
+    while len(left):
+        # Leaves thin out as stops are visited, so they are built anew when half of them are gone.
+        leaves = _Leaves(lat, lon, left)
+        for _ in range(len(left) if len(left) <= _LEAF else len(left) // 2):
+            km, stop, leaf = leaves.nearest(here)
+            if order and np.isfinite(reach_km):
+                from_start = _distance_km(np.asarray(here[0]), np.asarray(here[1]), *start)
+                if km * _RELATIVE >= reach_km - from_start:
+                    return np.asarray(order, dtype=np.int64), here
+            order.append(stop)
+            here = (lat[stop], lon[stop])
+            leaves.remove(stop, leaf)
+        left = np.sort(np.concatenate(leaves.stops))
     return np.asarray(order, dtype=np.int64), here
 
 

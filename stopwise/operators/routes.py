@@ -50,6 +50,7 @@ def route_stops(
     ties=DEFAULT_TIES,
     rows_per_route: int | None = None,
     limit: int = ROUTE_ROWS,
+    ordered: bool = False,
 ) -> DataFrame:
     """Number the stops of every route: priority blocks in turn, the nearest remaining stop first.
 
@@ -65,12 +66,18 @@ def route_stops(
         stops = stops.where(condition)
     stops = ensure_column(stops, "priority", 3).withColumn("block", priority_block(F.col("priority")))
     if rows_per_route is not None and rows_per_route <= limit:
-        return _walk_short(stops, keys, depot, ties)
-
-    stops = Scratch(df.sparkSession, "routes").save(stops, "stops")
-    long_routes = Scratch(df.sparkSession, "routes").save(
-        stops.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit).drop("_rows"), "long"
-    )
+        numbered = _walk_short(stops, keys, depot, ties)
+    else:
+        numbered = _walk_counted(stops, keys, depot, ties, limit)
+    return numbered.orderBy(*keys, "visit_seq") if ordered else numbered
+
+
+def _walk_counted(stops: DataFrame, keys: list[str], depot, ties, limit: int) -> DataFrame:
+    """Walk routes of unknown length: count them first, then tell the short from the long ones."""
+    scratch = Scratch(stops.sparkSession, "routes")
+    stops = scratch.save(stops, "stops")
+    lengths = stops.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    long_routes = scratch.save(lengths.where(F.col("_rows") > limit).drop("_rows"), "long")
     count = long_routes.count()
     if count == 0:
         return _walk_short(stops, keys, depot, ties)

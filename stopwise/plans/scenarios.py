@@ -19,7 +19,7 @@ from stopwise.constants import (
     INTERIOR_WEEK_OPS,
     ROUTED_STATUSES,
 )
-from stopwise.functions.dates import reference_date, week_mon_tue
+from stopwise.functions.dates import reference_date, week_mon_tue, week_start
 from stopwise.functions.text import priority, to_number
 from stopwise.operators.calendar import Calendar
 from stopwise.operators.earliest import delivery_groups, earliest, first_in_window
@@ -122,14 +122,16 @@ def scenario(
         daily = earliest(groups, ["customer_id", "departure_date"], ties)
         rows = daily.join(dates, "departure_date").join(people, "customer_id")
     else:
-        dates = calendar.days.withColumn("departure_date", F.explode(week_mon_tue(F.col("as_of"))))
+        # Monday and Tuesday are the same for all days of a Sunday-started week, so the first of them on
+        # which a customer has deliveries is found once per week and then given to the week's days.
+        weeks = calendar.days.withColumn("week", week_start(F.col("as_of")))
         # From the Monday before a Saturday to the Tuesday after a Sunday.
         first, last = calendar.first - timedelta(days=5), calendar.last + timedelta(days=2)
-        mon_tue = F.dayofweek(F.col("departure_ts")).isin(2, 3)
+        leaves = F.col("departure_ts").cast("date")
+        mon_tue = F.array_contains(week_mon_tue(leaves), leaves)
         groups = delivery_groups(deliveries, ops, statuses, first, last, group, mon_tue)
-        daily = earliest(groups, ["customer_id", "departure_date"], ties)
-        # Monday or Tuesday, whichever comes first: one of at most two rows per customer and report day.
-        rows = earliest(daily.join(dates, "departure_date"), ["customer_id", "as_of"], ties).join(people, "customer_id")
+        weekly = earliest(groups.withColumn("week", week_start(leaves)), ["customer_id", "week"], ties)
+        rows = weekly.join(weeks, "week").join(people, "customer_id")
 
     if spec.with_area:
         rows = rows.join(areas.select("area_id", "area_desc"), "area_id", "left")

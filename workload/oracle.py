@@ -224,6 +224,9 @@ NATION_WALK = f"""WITH RECURSIVE stops AS (
   FROM customer),
 {walk_ctes(["nation_key"], ["customer_id"], CITY_DEPOT)}"""
 
+NATION_ROUTES = f"""{NATION_WALK}
+SELECT nation_key, customer_id, block, visit_seq FROM walk WHERE visit_seq > 0"""
+
 MASTER = f"""{CUSTOMERS},{AREAS},{NETWORKS},
 basic AS (
   SELECT CAST(c.customer_id AS VARCHAR) AS customer_id, c.trade_name AS trade_name,
@@ -387,8 +390,8 @@ FROM cleaned WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180""",
     "routes_by_driver": routes_sql("same_day_by_driver", "driver_name", CITY_DEPOT),
     "routes_by_date": routes_sql("six_day_by_date", "departure_ts", CITY_DEPOT),
     "routes_mon_tue": routes_sql("interior_mon_tue", "driver_name", INTERIOR_DEPOT),
-    "customer_routes_by_nation": f"""{NATION_WALK}
-SELECT nation_key, customer_id, block, visit_seq FROM walk WHERE visit_seq > 0""",
+    "customer_routes_by_nation": NATION_ROUTES,
+    "customer_routes_in_rounds": NATION_ROUTES,
     "route_legs": f"""{NATION_WALK}
 SELECT nation_key, visit_seq, customer_id, round(prev_lat, 6) AS prev_lat, round(prev_lon, 6) AS prev_lon,
   round(lat, 6) AS lat, round(lon, 6) AS lon, round(leg_km, 6) AS leg_km

@@ -56,7 +56,7 @@ def stops_of(name: str, spark: SparkSession, sf: str) -> DataFrame:
     return route_stops(report(name, spark, sf), route_keys(name), depot, rows_per_route=customer_count(spark, sf))
 
 
-def nation_stops(spark: SparkSession, sf: str) -> DataFrame:
+def nation_stops(spark: SparkSession, sf: str, **how) -> DataFrame:
     """All customers as stops, one route per nation: few, long routes."""
     key = F.col("c_custkey")
     points = t.table(spark, sf, "customer").select(
@@ -66,9 +66,11 @@ def nation_stops(spark: SparkSession, sf: str) -> DataFrame:
         (F.lit(-38.0) - ((key * 104729) % 10009) / F.lit(10009.0) * 2.5).alias("lon"),
         F.when(key % 4 != 0, key % 4).otherwise(3).cast("int").alias("priority"),
     )
-    return route_stops(
-        points, ["nation_key"], CITY_DEPOT, ["customer_id"], rows_per_route=customer_count(spark, sf)
-    )
+    return route_stops(points, ["nation_key"], CITY_DEPOT, ["customer_id"], **how)
+
+
+def bounded_nation_stops(spark: SparkSession, sf: str) -> DataFrame:
+    return nation_stops(spark, sf, rows_per_route=customer_count(spark, sf))
 
 
 def master(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,11 +142,17 @@ def scenario_routes(name: str, spark: SparkSession, sf: str) -> DataFrame:
 
 
 def customer_routes_by_nation(spark: SparkSession, sf: str) -> DataFrame:
-    return nation_stops(spark, sf).select("nation_key", "customer_id", "block", "visit_seq")
+    return bounded_nation_stops(spark, sf).select("nation_key", "customer_id", "block", "visit_seq")
+
+
+def customer_routes_in_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The same routes as if a task could hold only half of one: walked in rounds, to the same result."""
+    half_a_route = max(1, customer_count(spark, sf) // 50)
+    return nation_stops(spark, sf, limit=half_a_route).select("nation_key", "customer_id", "block", "visit_seq")
 
 
 def route_legs(spark: SparkSession, sf: str) -> DataFrame:
-    legs = paths.route_legs(nation_stops(spark, sf), ["nation_key"], CITY_DEPOT)
+    legs = paths.route_legs(bounded_nation_stops(spark, sf), ["nation_key"], CITY_DEPOT)
     return _rounded(
         legs.select("nation_key", "visit_seq", "customer_id", "prev_lat", "prev_lon", "lat", "lon", "leg_km"),
         6, "prev_lat", "prev_lon", "lat", "lon", "leg_km",
@@ -158,7 +166,7 @@ def route_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def route_path_points(spark: SparkSession, sf: str) -> DataFrame:
-    lines = paths.route_path(nation_stops(spark, sf), ["nation_key"], CITY_DEPOT)
+    lines = paths.route_path(bounded_nation_stops(spark, sf), ["nation_key"], CITY_DEPOT)
     points = lines.select("nation_key", F.explode("path").alias("point")).select("nation_key", "point.*").distinct()
     return _rounded(points, 6, "lat", "lon")
 
@@ -324,6 +332,7 @@ QUERIES = {
     "routes_by_date": partial(scenario_routes, "six_day_by_date"),
     "routes_mon_tue": partial(scenario_routes, "interior_mon_tue"),
     "customer_routes_by_nation": customer_routes_by_nation,
+    "customer_routes_in_rounds": customer_routes_in_rounds,
     "route_legs": route_legs,
     "route_lengths": route_lengths,
     "route_path_points": route_path_points,
