@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopwise.functions.text import integer_value, is_integer_text, text_or_empty
 from stopwise.operators.numbering import number_within
+from stopwise.operators.storage import TASK_ROWS, Scratch
 
 # Facet names and the master columns behind them.
 FACETS = {
@@ -51,17 +52,21 @@ def facet_values(master: DataFrame, rows_per_facet: int | None = None) -> DataFr
     ``number_within``; ``rows_per_facet`` is a proved bound on the customers, if there is one.
     """
     values = _facet_rows(master).distinct()
-    numeric = values.groupBy("facet").agg(F.bool_and(is_integer_text(F.col("value"))).alias("numeric"))
-    # Eight rows at most, whatever the master holds.
-    typed = values.join(F.broadcast(numeric), "facet")
-    order = [
-        F.when(F.col("numeric"), integer_value(F.col("value"))),
-        F.upper("value"),
-        F.col("value"),
-    ]
-    ranked = typed.select("facet", "value", order[0].alias("_number"), order[1].alias("_upper"))
+    integers = F.bool_and(is_integer_text(F.col("value")))
+    if rows_per_facet is not None and rows_per_facet <= TASK_ROWS:
+        typed = values.withColumn("numeric", integers.over(Window.partitionBy("facet")))
+    else:
+        values = Scratch(master.sparkSession, "facets").save(values, "values")
+        # One row per facet, so eight at most.
+        typed = values.join(F.broadcast(values.groupBy("facet").agg(integers.alias("numeric"))), "facet")
+    keyed = typed.select(
+        "facet",
+        "value",
+        F.when(F.col("numeric"), integer_value(F.col("value"))).alias("_number"),
+        F.upper("value").alias("_upper"),
+    )
     by = [F.col("_number"), F.col("_upper"), F.col("value")]
-    return number_within(ranked, ["facet"], by, "position", rows_per_facet).select("facet", "value", "position")
+    return number_within(keyed, ["facet"], by, "position", rows_per_facet).select("facet", "value", "position")
 
 
 def facet_search(values: DataFrame, facet: str, term: str) -> DataFrame:

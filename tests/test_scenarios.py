@@ -250,3 +250,11 @@ def test_customer_master(spark, threshold):
     assert (second.vendor_name, second.supervisor, second.region, second.lat) == (None, "N/A", "L82-INTERIOR", -3.5)
     assert masters.master_summary(master).first()[0] == 2
     assert tuple(masters.centroid(master).first()) == (-3.5, -38.0)
+
+
+def test_calendar_of_a_frame(spark):
+    days = spark.createDataFrame([(date(2024, 6, d),) for d in (3, 1, 3)] + [(None,)], "as_of date")
+    calendar = Calendar.from_frame(days)
+    assert (calendar.first.day, calendar.last.day, calendar.gapless, calendar.days.count()) == (1, 3, False, 2)
+    assert Calendar.from_frame(days.where("as_of is null")) is None
+    assert Calendar.of(spark, date(2024, 6, 2), date(2024, 6, 1)).gapless
