@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import stopwise
+from stopwise.constants import DEFAULT_PRIORITY
 from stopwise.functions.geo import haversine_km, in_range, is_point
 from stopwise.functions.text import priority_block
 from stopwise.operators.greedy import SHORT, greedy_walk, walk_blocks, walk_side_by_side
@@ -64,7 +65,7 @@ def route_stops(
     stops = placeable(df)
     for condition in present:
         stops = stops.where(condition)
-    stops = ensure_column(stops, "priority", 3).withColumn("block", priority_block(F.col("priority")))
+    stops = ensure_column(stops, "priority", DEFAULT_PRIORITY).withColumn("block", priority_block(F.col("priority")))
     if rows_per_route is not None and rows_per_route <= limit:
         numbered = _walk_short(stops, keys, depot, ties)
     else:
@@ -72,6 +73,21 @@ def route_stops(
     return numbered.orderBy(*keys, "visit_seq") if ordered else numbered
 
 
+def greedy_sequence(
+    df: DataFrame, keys: list[str], start: tuple[float, float], ties=DEFAULT_TIES, **bounds
+) -> DataFrame:
+    """Number the stops of every route by the nearest remaining one alone, whatever their priority."""
+    kept = df.withColumnsRenamed({"priority": "_priority"})
+    walked = route_stops(kept, keys, start, ties, **bounds).drop("priority", "block")
+    return walked.withColumnsRenamed({"_priority": "priority"})
+
+
+def last_locations(stops: DataFrame, keys: list[str]) -> DataFrame:
+    """Where each route ends; a route without a placed stop has no row."""
+    end = F.max_by(F.struct("lat", "lon"), "visit_seq").alias("end")
+    return stops.groupBy(*keys).agg(end).select(*keys, "end.lat", "end.lon")
+
+
 def _walk_counted(stops: DataFrame, keys: list[str], depot, ties, limit: int) -> DataFrame:
     """Walk routes of unknown length: count them first, then tell the short from the long ones."""
     scratch = Scratch(stops.sparkSession, "routes")

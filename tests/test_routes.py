@@ -66,7 +66,7 @@ def test_short_routes_match_brute_force(spark, bound):
 
 @pytest.mark.parametrize("limit", [1, 7, 60])
 def test_long_routes_are_walked_in_rounds_to_the_same_result(spark, limit):
-    sizes = {"hot": 12 if limit == 1 else 150, "warm": 10 if limit == 1 else 70, "cold": 5}
+    sizes = {1: {"hot": 9, "warm": 7}, 7: {"hot": 60, "warm": 25}, 60: {"hot": 150, "warm": 70}}[limit] | {"cold": 5}
     rows = random_rows(2, sizes, duplicates=0.4)
     stops = route_stops(spark.createDataFrame(rows, COLUMNS), ["route"], CITY_DEPOT, ["customer_id"], limit=limit)
     assert visits_of(stops) == brute_force(rows, CITY_DEPOT)

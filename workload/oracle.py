@@ -216,14 +216,19 @@ def routes_sql(name: str, key: str, depot) -> str:
 SELECT as_of, {key}, customer_id, block, visit_seq FROM walk WHERE visit_seq > 0"""
 
 
-NATION_WALK = f"""WITH RECURSIVE stops AS (
+def nation_walk(block: str) -> str:
+    return f"""WITH RECURSIVE stops AS (
   SELECT c_nationkey AS nation_key, c_custkey AS customer_id,
     -3e0 - ((c_custkey * 7919) % 10007) / 10007e0 * 2e0 AS lat,
     -38e0 - ((c_custkey * 104729) % 10009) / 10009e0 * 25e-1 AS lon,
-    CASE WHEN c_custkey % 4 IN (1, 2) THEN CAST(c_custkey % 4 AS INTEGER) ELSE 3 END AS block
+    {block} AS block
   FROM customer),
 {walk_ctes(["nation_key"], ["customer_id"], CITY_DEPOT)}"""
 
+
+NATION_WALK = nation_walk("CASE WHEN c_custkey % 4 IN (1, 2) THEN CAST(c_custkey % 4 AS INTEGER) ELSE 3 END")
+ONE_BLOCK_WALK = nation_walk("3")
+
 NATION_ROUTES = f"""{NATION_WALK}
 SELECT nation_key, customer_id, block, visit_seq FROM walk WHERE visit_seq > 0"""
 
@@ -350,6 +355,11 @@ _PRIORITY_TEXT = (
 )
 _SAME_DAY = report_ctes("same_day_by_driver")
 
+NETWORK_LINES = f"""WITH {NETWORKS}
+SELECT CAST(c_custkey AS VARCHAR) AS customer_id, coalesce(trim(network), '') AS network,
+  coalesce(trim(subnetwork), '') AS subnetwork
+FROM customer LEFT JOIN networks ON trim(customer_id) = CAST(c_custkey AS VARCHAR)"""
+
 ORACLE = {
     **{name: report_sql(name) for name in _DAYS},
     "scenario_totals": f"""WITH {_SAME_DAY}
@@ -392,6 +402,13 @@ FROM cleaned WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180""",
     "routes_mon_tue": routes_sql("interior_mon_tue", "driver_name", INTERIOR_DEPOT),
     "customer_routes_by_nation": NATION_ROUTES,
     "customer_routes_in_rounds": NATION_ROUTES,
+    "nearest_sequence": f"""{ONE_BLOCK_WALK}
+SELECT nation_key, customer_id,
+  CAST(CASE WHEN customer_id % 4 = 0 THEN 3 ELSE customer_id % 4 END AS INTEGER) AS priority, visit_seq
+FROM walk WHERE visit_seq > 0""",
+    "route_ends": f"""{ONE_BLOCK_WALK}
+SELECT nation_key, round(arg_max(lat, visit_seq), 6) AS lat, round(arg_max(lon, visit_seq), 6) AS lon
+FROM walk WHERE visit_seq > 0 GROUP BY nation_key""",
     "route_legs": f"""{NATION_WALK}
 SELECT nation_key, visit_seq, customer_id, round(prev_lat, 6) AS prev_lat, round(prev_lon, 6) AS prev_lon,
   round(lat, 6) AS lat, round(lon, 6) AS lon, round(leg_km, 6) AS leg_km
@@ -411,10 +428,8 @@ FROM walk AS w JOIN stops AS s
   ON s.as_of = w.as_of AND s.driver_name = w.driver_name AND s.customer_id = w.customer_id""",
     "customer_master": f"WITH {MASTER} SELECT * {_ROUND_PLACE} FROM master",
     "customer_master_basic": f"WITH {MASTER} SELECT * {_ROUND_PLACE} FROM basic",
-    "customer_networks": f"""WITH {NETWORKS}
-SELECT CAST(c_custkey AS VARCHAR) AS customer_id, coalesce(trim(network), '') AS network,
-  coalesce(trim(subnetwork), '') AS subnetwork
-FROM customer LEFT JOIN networks ON trim(customer_id) = CAST(c_custkey AS VARCHAR)""",
+    "customer_networks": NETWORK_LINES,
+    "networks_from_file": NETWORK_LINES,
     "region_counts": f"WITH {MASTER} SELECT region, count(*) AS markers FROM master GROUP BY region",
     "master_summary": f"WITH {MASTER} SELECT count(*) AS markers FROM master",
     "centroid": f"WITH {MASTER} SELECT round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM master",

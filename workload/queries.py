@@ -15,12 +15,14 @@ from stopwise.functions.text import priority, to_number
 from stopwise.operators import facets, palettes, paths
 from stopwise.operators.calendar import Calendar
 from stopwise.operators.roster import enrich_networks, roster_lookup
-from stopwise.operators.routes import placeable, route_stops
+from stopwise.operators.routes import greedy_sequence, last_locations, placeable, route_stops
 from stopwise.operators.storage import Scratch, row_bound
 from stopwise.plans import master as masters
 from stopwise.plans import reports
 from stopwise.plans.scenarios import SCENARIOS, find_scenario, route_keys, scenario
+from stopwise.schemas import NETWORK_COLUMNS
 from stopwise.sources.sinks import write_report
+from stopwise.sources.tables import read_networks
 from stopwise.streaming.refresh import refresh_stream
 from workload import tables as t
 
@@ -56,17 +58,20 @@ def stops_of(name: str, spark: SparkSession, sf: str) -> DataFrame:
     return route_stops(report(name, spark, sf), route_keys(name), depot, rows_per_route=customer_count(spark, sf))
 
 
-def nation_stops(spark: SparkSession, sf: str, **how) -> DataFrame:
+def nation_points(spark: SparkSession, sf: str) -> DataFrame:
     """All customers as stops, one route per nation: few, long routes."""
     key = F.col("c_custkey")
-    points = t.table(spark, sf, "customer").select(
+    return t.table(spark, sf, "customer").select(
         F.col("c_nationkey").alias("nation_key"),
         key.alias("customer_id"),
         (F.lit(-3.0) - ((key * 7919) % 10007) / F.lit(10007.0) * 2.0).alias("lat"),
         (F.lit(-38.0) - ((key * 104729) % 10009) / F.lit(10009.0) * 2.5).alias("lon"),
         F.when(key % 4 != 0, key % 4).otherwise(3).cast("int").alias("priority"),
     )
-    return route_stops(points, ["nation_key"], CITY_DEPOT, ["customer_id"], **how)
+
+
+def nation_stops(spark: SparkSession, sf: str, **how) -> DataFrame:
+    return route_stops(nation_points(spark, sf), ["nation_key"], CITY_DEPOT, ["customer_id"], **how)
 
 
 def bounded_nation_stops(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,6 +156,19 @@ def customer_routes_in_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return nation_stops(spark, sf, limit=half_a_route).select("nation_key", "customer_id", "block", "visit_seq")
 
 
+def unblocked_stops(spark: SparkSession, sf: str) -> DataFrame:
+    bound = customer_count(spark, sf)
+    return greedy_sequence(nation_points(spark, sf), ["nation_key"], CITY_DEPOT, ["customer_id"], rows_per_route=bound)
+
+
+def nearest_sequence(spark: SparkSession, sf: str) -> DataFrame:
+    return unblocked_stops(spark, sf).select("nation_key", "customer_id", "priority", "visit_seq")
+
+
+def route_ends(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(last_locations(unblocked_stops(spark, sf), ["nation_key"]), 6, "lat", "lon")
+
+
 def route_legs(spark: SparkSession, sf: str) -> DataFrame:
     legs = paths.route_legs(bounded_nation_stops(spark, sf), ["nation_key"], CITY_DEPOT)
     return _rounded(
@@ -190,6 +208,15 @@ def customer_networks(spark: SparkSession, sf: str) -> DataFrame:
     return enrich_networks(t.customers(spark, sf).select("customer_id"), t.networks(spark, sf))
 
 
+def networks_from_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The same enrichment with the networks read from a CSV file."""
+    path = f"{Scratch(spark, 'files').root}/networks"
+    old_names = {new: old for old, new in NETWORK_COLUMNS.items()}
+    lines = t.networks(spark, sf).withColumnsRenamed(old_names)
+    lines.write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return enrich_networks(t.customers(spark, sf).select("customer_id"), read_networks(spark, path))
+
+
 def region_counts(spark: SparkSession, sf: str) -> DataFrame:
     return masters.region_counts(master(spark, sf))
 
@@ -333,6 +360,8 @@ QUERIES = {
     "routes_mon_tue": partial(scenario_routes, "interior_mon_tue"),
     "customer_routes_by_nation": customer_routes_by_nation,
     "customer_routes_in_rounds": customer_routes_in_rounds,
+    "nearest_sequence": nearest_sequence,
+    "route_ends": route_ends,
     "route_legs": route_legs,
     "route_lengths": route_lengths,
     "route_path_points": route_path_points,
@@ -340,6 +369,7 @@ QUERIES = {
     "customer_master": customer_master,
     "customer_master_basic": customer_master_basic,
     "customer_networks": customer_networks,
+    "networks_from_file": networks_from_file,
     "region_counts": region_counts,
     "master_summary": master_summary,
     "centroid": centroid,
