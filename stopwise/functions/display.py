@@ -14,21 +14,24 @@ _SPLITTER = 134217729.0  # 2**27 + 1 halves the 53 significant bits
 def two_decimals(value: Column) -> Column:
     """``1,234.50``: the exact binary value rounded half to even, as C and Python print it.
 
-    ``format_number`` on a double rounds its shortest decimal text instead, which moves
-    half-cents such as 2.675 up. The product ``value * 100`` is split into its rounded part and
-    its exact error, so the comparison with one half is exact.
+    ``format_number`` on a double rounds its shortest decimal text instead, which moves half-cents
+    such as 2.675 up. Here the cents are rounded from ``value * 100``; where that product is a half,
+    the exact error of the multiplication tells on which side of it the true product lies.
     """
     product = value * 100.0
     carried = value * _SPLITTER
     high = carried - (carried - value)
     error = (high * 100.0 - product) + (value - high) * 100.0
     whole = F.floor(product).cast("double")
-    above_half = ((product - whole) - 0.5) + error
-    round_up = (above_half > 0) | ((above_half == 0) & (whole % 2 != 0))
-    cents = whole + F.when(round_up, 1.0).otherwise(0.0)
+    cents = (
+        F.when((product - whole != 0.5) | (error == 0), F.rint(product))
+        .when(error > 0, whole + 1.0)
+        .otherwise(whole)
+    )
     exact = (cents.try_cast("decimal(36,0)") / F.lit(100).cast("decimal(3,0)")).try_cast("decimal(38,2)")
     chosen = F.when(F.abs(value) < _EXACT_BELOW, exact).otherwise(value.try_cast("decimal(38,2)"))
-    sign = F.when((chosen == 0) & (value < 0), F.lit("-")).otherwise(F.lit(""))
+    # A small negative value keeps its sign when it is rounded to zero.
+    sign = F.when((value < 0) & (value > -0.005), F.lit("-")).otherwise(F.lit(""))
     return F.when(F.isnan(value), F.lit("nan")).otherwise(F.concat(sign, F.format_number(chosen, 2)))
 
 

@@ -36,7 +36,7 @@ class Scenario:
     normal_days: int | None = None  # a single reference date, this many days ahead (two on Saturdays)
     window_days: int | None = None  # every date from the report day to this many days ahead
     with_driver: bool = True  # deliveries need a driver, whose name belongs to the group
-    with_area: bool = False  # the customer's area is shown and gives the driver through the roster
+    with_area: bool = False  # of a window: the customer's area is shown and gives the driver through the roster
     with_priority: bool = True  # the status and the customer's priorities are part of the report
     route_key: str = "driver_name"
 
@@ -110,9 +110,12 @@ def scenario(
         groups = delivery_groups(deliveries, ops, statuses, calendar.first, last, group)
         daily = earliest(groups, ["customer_id", "departure_date"], ties)
         placed = first_in_window(daily, spec.window_days, calendar.first, calendar.last)
-        rows = placed.join(people, "customer_id").withColumn(
-            "as_of", F.explode(F.sequence("_opens", "_closes", F.expr("interval 1 day")))
-        )
+        rows = placed.join(people, "customer_id")
+        if spec.with_area:
+            rows = assign_roster(rows.join(areas.select("area_id", "area_desc"), "area_id", "left"), roster)
+        # Rows are multiplied over the report days last, when nothing is left to be computed per row.
+        ahead = F.explode(F.sequence(F.lit(0), F.date_diff("_closes", "_opens")))
+        rows = rows.withColumn("_ahead", ahead).withColumn("as_of", F.date_add("_opens", F.col("_ahead")))
         if not calendar.gapless:
             rows = rows.join(calendar.days, "as_of")
     elif spec.normal_days is not None:
@@ -133,9 +136,6 @@ def scenario(
         weekly = earliest(groups.withColumn("week", week_start(leaves)), ["customer_id", "week"], ties)
         rows = weekly.join(weeks, "week").join(people, "customer_id")
 
-    if spec.with_area:
-        rows = rows.join(areas.select("area_id", "area_desc"), "area_id", "left")
-        rows = assign_roster(rows, roster)
     columns = ["as_of", "departure_ts", "customer_id", "op_code", "trade_name", "lat", "lon"]
     columns += ["area_desc"] if spec.with_area else []
     columns += ["driver_name"] if spec.with_driver or spec.with_area else []
