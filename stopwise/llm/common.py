@@ -31,17 +31,9 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def free_name(wanted: str, taken) -> str:
-    """A column name like ``wanted`` that no column has, whatever its case."""
-    used = {name.lower() for name in taken}
-    while wanted.lower() in used:
-        wanted = f"_{wanted}"
-    return wanted
-
-
-def packed(df: DataFrame) -> tuple[DataFrame, str]:
-    """All columns of ``df`` in one struct column, so that operators' own columns cannot clash."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")), "row"
+def packed(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` in one struct ``given``, so that operators' own columns cannot clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("given"))
 
 
 def unpacked(df: DataFrame, columns: list[str], **more: Column) -> DataFrame:

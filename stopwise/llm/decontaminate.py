@@ -272,12 +272,12 @@ def find_contamination(
     nothing is shuffled. The benchmark comes to the driver and is broadcast block by block, at most
     ``block_bytes`` (or one item) at a time; spans of the blocks are merged.
     """
-    rows, _ = packed(docs)
+    rows = packed(docs)
     spark = docs.sparkSession
     kept = [c for c in docs.columns if keep_text or c != text]
     found = rows.select(
-        F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != text], F.lit(1).alias("_unused")).alias("row"),
-        F.col(f"row.`{text}`").alias("text"),
+        F.struct(*[F.col(f"given.`{c}`") for c in docs.columns if c != text], F.lit(1).alias("_unused")).alias("row"),
+        F.col(f"given.`{text}`").alias("text"),
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"),
         F.array().cast("array<string>").alias("items"),

@@ -75,16 +75,16 @@ def mix(
     Only counts per source and cell are shuffled. A source of any share of the rows is counted in
     ``cells`` cells of keys, and just the cell that the budget ends in is sorted.
     """
-    rows, _ = packed(docs)
+    rows = packed(docs)
     store = scratch(docs, "mixing")
-    body = F.col(f"row.`{text}`")
+    body = F.col(f"given.`{text}`")
     kept = [c for c in docs.columns if keep_text or c != text]
-    mark = F.xxhash64(F.lit(seed), F.col(f"row.`{key}`").cast("string"), body)
+    mark = F.xxhash64(F.lit(seed), F.col(f"given.`{key}`").cast("string"), body)
     uniform = (F.shiftrightunsigned(mark, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     narrow = rows.select(
-        F.struct(*[F.col(f"row.`{c}`") for c in kept], F.lit(1).alias("_unused")).alias("row"),
+        F.struct(*[F.col(f"given.`{c}`") for c in kept], F.lit(1).alias("_unused")).alias("row"),
         F.monotonically_increasing_id().alias("id"),
-        F.col(f"row.`{source}`").alias("source"),
+        F.col(f"given.`{source}`").alias("source"),
         F.size(words(body)).cast("long").alias("size"),
         mark.alias("mark"),
         (-F.log(uniform) / quality_weight(body)).alias("draw"),

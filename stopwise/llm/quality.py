@@ -110,8 +110,8 @@ def judge(
     verdicts; an empty table gives no rows. Texts are read whole. Only hashes and counts are
     shuffled; counts are combined before the shuffle, so a line that every document has is no hot key.
     """
-    rows, _ = packed(docs)
-    body, place = F.col(f"row.`{text}`"), F.col(f"row.`{host}`")
+    rows = packed(docs)
+    body, place = F.col(f"given.`{text}`"), F.col(f"given.`{host}`")
     counts = text_counts(body)
     line_hashes = F.filter(
         F.transform(
@@ -128,7 +128,7 @@ def judge(
     )
     kept_columns = [c for c in docs.columns if keep_text or c != text]
     narrow = rows.select(
-        F.struct(*[F.col(f"row.`{c}`") for c in kept_columns], F.lit(1).alias("_unused")).alias("row"),
+        F.struct(*[F.col(f"given.`{c}`") for c in kept_columns], F.lit(1).alias("_unused")).alias("row"),
         F.monotonically_increasing_id().alias("id"),
         F.xxhash64(place).alias("host"),
         F.xxhash64(body, F.length(body)).alias("content"),

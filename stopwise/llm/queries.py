@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm import decontaminate, mixing, quality, sharding, simhash
+from stopwise.llm import decontaminate, licenses, mixing, pages, quality, sharding, simhash
 from stopwise.llm.common import table
 
 
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", "n_chars", "n_deleted")
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality.judge(docs).select(
@@ -62,10 +67,19 @@ def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
 QUERIES = {
+    "op2_page_text": page_text,
     "op4_quality_rules": quality_rules,
     "op5_simhash_groups": simhash_groups,
     "op6_histogram_shards": histogram_shards,
     "op8_source_mix": source_mix,
     "op9_benchmark_hits": benchmark_hits,
+    "op10_license_scan": license_scan,
 }

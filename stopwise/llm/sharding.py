@@ -125,15 +125,15 @@ def shard(
     no rows. The driver holds the counts of key cells, a number that follows the shards and pieces
     and not the rows.
     """
-    rows, _ = packed(docs)
+    rows = packed(docs)
     store = scratch(docs, "sharding")
-    body = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
+    body = F.coalesce(F.col(f"given.`{text}`"), F.lit(""))
     kept = [c for c in docs.columns if keep_text or c != text]
     keyed = rows.select(
-        F.struct(*[F.col(f"row.`{c}`") for c in kept], F.lit(1).alias("_unused")).alias("row"),
+        F.struct(*[F.col(f"given.`{c}`") for c in kept], F.lit(1).alias("_unused")).alias("row"),
         (F.octet_length(body).cast("long") + 1).alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("crc"),
-        sort_key(body, F.col(f"row.`{key}`"), F.monotonically_increasing_id()).alias("key"),
+        sort_key(body, F.col(f"given.`{key}`"), F.monotonically_increasing_id()).alias("key"),
     )
     keyed = store.save(keyed, "rows")
     narrow = keyed.select("key", "size")
