@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm import decontaminate, licenses, mixing, pages, quality, sharding, simhash
+from stopwise.llm import decontaminate, licenses, mixing, ngrams, pages, quality, sharding, simhash, wordpieces
 from stopwise.llm.common import table
 
 
+# The vocabulary that the token counts use; any file of its form will do.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wordpieces.count_tokens(docs, VOCABULARY)
+
+
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pages.main_text(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", "n_chars", "n_deleted")
@@ -48,6 +57,11 @@ def histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngrams.score_texts(docs, parts=7, held_out=2)
+
+
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix(docs, total_share=1.5, most=2.0, weights=(5, 2, 1))
@@ -75,10 +89,12 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": token_counts,
     "op2_page_text": page_text,
     "op4_quality_rules": quality_rules,
     "op5_simhash_groups": simhash_groups,
     "op6_histogram_shards": histogram_shards,
+    "op7_language_scores": language_scores,
     "op8_source_mix": source_mix,
     "op9_benchmark_hits": benchmark_hits,
     "op10_license_scan": license_scan,
