@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm import decontaminate, licenses, mixing, ngrams, pages, quality, sharding, simhash, wordpieces
+from stopwise.llm import decontaminate, licenses, mixing, ngrams, pages, quality, sharding, simhash, substrings, wordpieces
 from stopwise.llm.common import table
 
 
@@ -23,6 +23,12 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", "n_chars", "n_deleted")
 
 
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substrings.repeated_substrings(docs, length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality.judge(docs).select(
@@ -91,6 +97,7 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": token_counts,
     "op2_page_text": page_text,
+    "op3_repeated_strings": repeated_strings,
     "op4_quality_rules": quality_rules,
     "op5_simhash_groups": simhash_groups,
     "op6_histogram_shards": histogram_shards,
