@@ -14,9 +14,10 @@ from stopwise.llm.common import packed, scratch, unpacked
 
 # Bytes of the strings that mark places where texts may be equal.
 GRAM = 128
-# Places that one task compares at a time; strings that mark more are compared window by window.
-GROUP = 10_000
-SHARD = 12_000
+# Different surroundings of a gram that one task may hold; those of more are compared window by window.
+GROUP = 100_000
+# Surroundings that are sorted at a time.
+SHARD = 4_000
 # Text bytes that are marked at once.
 CHUNK = 1 << 19
 # Bits of the filter that keeps unaffected texts out of the shuffle, in words of 64.
@@ -238,26 +239,35 @@ def repeated_offsets(
     return least, greatest
 
 
-def _own_offsets(left: int, right: int, length: int, reach: int) -> tuple[int, int]:
-    """Of a context that occurs twice, every window is repeated."""
-    return max(0, length - right), min(reach - 1, left)
+def offsets_by_window(contexts: list[bytes], left: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``repeated_offsets`` for one group, window by window: for groups too large to sort at once."""
+    least, greatest = np.full(len(contexts), reach), np.full(len(contexts), -1)
+    for o in range(reach):
+        seen: dict[bytes, int] = {}
+        for i, (context, before) in enumerate(zip(contexts, left.tolist())):
+            if before >= o and len(context) - before >= length - o:
+                window = hashlib.blake2b(context[before - o : before - o + length], digest_size=16).digest()
+                first = seen.setdefault(window, i)
+                if first != i:
+                    for x in (first, i):
+                        least[x], greatest[x] = min(least[x], o), o
+    return least, greatest
 
 
 _MARK = pa.schema([("a", pa.int64()), ("b", pa.int32()), ("at", pa.int32()), ("gram", pa.int64())])
 _CONTEXT = pa.schema(
     [
+        ("key", pa.binary()),
         ("gram", pa.int64()),
         ("a", pa.int64()),
         ("b", pa.int32()),
         ("low", pa.int32()),
         ("high", pa.int32()),
-        ("hot", pa.bool_()),
+        ("before", pa.int32()),
         ("context", pa.binary()),
     ]
 )
-_REGION = pa.schema([("a", pa.int64()), ("b", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
-
-
+_OFFSETS = pa.schema([("key", pa.binary()), ("least", pa.int32()), ("greatest", pa.int32())])
 def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -295,27 +305,31 @@ def _marker(length: int, gram: int):
 
 
 def _contexts(length: int, reach: int):
-    """The bytes around each mark; rows without context are windows known to repeat in the text itself."""
+    """The bytes around each mark, from ``low`` to ``high``, ``before`` of them before the mark.
+
+    Rows without context are regions known to repeat in the text itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b, text, found = (batch.column(c)[i].as_py() for c in ("a", "b", "text", "marks"))
+                a, b, text = (batch.column(c)[i].as_py() for c in ("a", "b", "text"))
+                found = batch.column("marks")[i].values
                 raw, seen = _utf8(text), {}
-                for mark in found:
-                    at = mark["at"]
+                for at, gram in zip(found.field("at").to_pylist(), found.field("gram").to_pylist()):
                     low, high = max(0, at - reach + 1), min(len(raw), at + length)
                     context = raw[low:high]
-                    key = (mark["gram"], at - low, context)
+                    key = hashlib.blake2b(b"%d %d " % (gram, at - low) + context, digest_size=16).digest()
                     first = seen.setdefault(key, at)
                     if first == at:
-                        rows.append((mark["gram"], a, b, low, at, mark["hot"], context))
+                        rows.append((key, gram, a, b, low, high, at - low, context))
                     else:
-                        least, greatest = _own_offsets(at - low, high - at, length, reach)
+                        # What occurs twice is repeated whole.
+                        least, greatest = max(0, length - (high - at)), min(reach - 1, at - low)
                         if least <= greatest:
                             for place in (first, at):
-                                rows.append((0, a, b, place - greatest, place - least + length, False, None))
+                                rows.append((key, 0, a, b, place - greatest, place - least + length, 0, None))
                     if len(rows) >= 5000:
                         yield _batch(_CONTEXT, *zip(*rows))
                         rows = []
@@ -325,72 +339,66 @@ def _contexts(length: int, reach: int):
     return run
 
 
-def _repeats(length: int, reach: int):
-    """Regions of repeated windows; rows come sorted by gram. ``high`` is the place of the mark."""
+def _repeats(length: int, reach: int, shard: int):
+    """Offsets of repeated windows of different contexts; rows come sorted by gram."""
 
-    def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts)
-        grams, low, at = (rows[c].to_numpy() for c in ("gram", "low", "high"))
-        left = (at - low).astype(np.int64)
-        numbers: dict[tuple, int] = {}
-        of = np.array(
-            [numbers.setdefault(k, len(numbers)) for k in zip(grams.tolist(), left.tolist(), rows["context"].to_pylist())]
-        )
-        keys = list(numbers)
-        times = np.bincount(of, minlength=len(keys))
-        groups = np.array([k[0] for k in keys], np.int64)
-        lefts = np.array([k[1] for k in keys], np.int64)
-        sizes = np.array([len(k[2]) for k in keys], np.int64)
-        least, greatest = np.full(len(keys), reach), np.full(len(keys), -1)
-        # Groups with one distinct context have nothing to compare.
-        _, back, members = np.unique(groups, return_inverse=True, return_counts=True)
-        several = np.flatnonzero(members[back] > 1)
-        if len(several):
-            least[several], greatest[several] = repeated_offsets(
-                [keys[i][2] for i in several], lefts[several], groups[several], length, reach
-            )
-        twice = times > 1
-        own_least, own_greatest = np.maximum(0, length - (sizes - lefts)), np.minimum(reach - 1, lefts)
-        twice &= own_least <= own_greatest
-        least[twice], greatest[twice] = own_least[twice], own_greatest[twice]
-        hit = np.flatnonzero(greatest[of] >= 0)
-        mark = at[hit].astype(np.int64)
-        a, b = rows["a"].to_numpy()[hit], rows["b"].to_numpy()[hit]
-        return _batch(_REGION, a, b, mark - greatest[of[hit]], mark - least[of[hit]] + length)
+        grams, left = rows["gram"].to_numpy(), rows["before"].to_numpy().astype(np.int64)
+        contexts = rows["context"].to_pylist()
+        if len(grams) > 2 * shard and grams[0] == grams[-1]:
+            least, greatest = offsets_by_window(contexts, left, length, reach)
+        else:
+            least, greatest = repeated_offsets(contexts, left, grams, length, reach)
+        hit = np.flatnonzero(greatest >= 0)
+        if len(hit):
+            yield _batch(_OFFSETS, rows["key"].take(pa.array(hit)).combine_chunks(), least[hit], greatest[hit])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: list[pa.RecordBatch] = []  # whole groups of two or more
+        group: list[pa.RecordBatch] = []  # the last gram's rows
+        size, members, gram = 0, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             grams = batch.column("gram").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(grams)) + 1).tolist(), len(grams)]
             for start, end in zip(cuts[:-1], cuts[1:]):
-                new = not held or held[-1].column("gram")[0].as_py() != grams[start]
-                if new and size >= SHARD:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append(batch.slice(start, end - start))
-                size += end - start
+                if group and grams[start] != gram:
+                    if members > 1:
+                        if held and size + members > shard:
+                            yield from flush(held)
+                            held, size = [], 0
+                        held, size = held + group, size + members
+                    group, members = [], 0
+                gram = grams[start]
+                group.append(batch.slice(start, end - start))
+                members += end - start
+        if members > 1 and held and size + members > shard:
+            yield from flush(held)
+            held = []
+        if members > 1:
+            held = held + group
         if held:
-            yield flush(held)
+            yield from flush(held)
 
     return run
 
 
-def _windows(length: int):
-    """Every window of a context by hash, for grams that mark very many places."""
-    schema = pa.schema([("window", pa.binary()), *_REGION])
+def _windows(length: int, reach: int):
+    """Every window of a context by hash, for grams with very many different surroundings."""
+    schema = pa.schema([("window", pa.binary()), ("key", pa.binary()), ("offset", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                context, at = row["context"], row["high"]
-                places = range(min(at - row["low"], len(context) - length) + 1)
-                digests = [hashlib.blake2b(context[o : o + length], digest_size=16).digest() for o in places]
-                n = len(digests)
-                lows = [row["low"] + o for o in places]
-                yield _batch(schema, digests, [row["a"]] * n, [row["b"]] * n, lows, [x + length for x in lows])
+                context, before = row["context"], row["before"]
+                windows, offsets = [], []
+                for o in range(max(0, length - len(context) + before), min(reach - 1, before) + 1):
+                    window = context[before - o : before - o + length]
+                    windows.append(hashlib.blake2b(b"%d %d " % (row["gram"], o) + window, digest_size=16).digest())
+                    offsets.append(o)
+                yield _batch(schema, windows, [row["key"]] * len(offsets), offsets)
 
     return run
 
@@ -407,9 +415,10 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
     for batch in batches:
         spans, kept = [], []
-        for text, regions in zip(batch.column("text").to_pylist(), batch.column("regions").to_pylist()):
-            raw, merged, at, digest = _utf8(text), [], 0, hashlib.sha256()
-            for r in sorted((r["low"], r["high"]) for r in regions):
+        for text, regions in zip(batch.column("text"), batch.column("regions")):
+            raw, merged, at, digest = _utf8(text.as_py()), [], 0, hashlib.sha256()
+            found = regions.values
+            for r in sorted(zip(found.field("low").to_pylist(), found.field("high").to_pylist())):
                 if merged and r[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], r[1])
                 else:
@@ -441,7 +450,13 @@ def _affected(texts: DataFrame, keys: DataFrame, words: int) -> DataFrame:
 
 
 def repeated_substrings(
-    docs: DataFrame, text: str = "text", length: int = 400, gram: int = GRAM, group: int = GROUP, words: int = FILTER_WORDS
+    docs: DataFrame,
+    text: str = "text",
+    length: int = 400,
+    gram: int = GRAM,
+    group: int = GROUP,
+    shard: int = SHARD,
+    words: int = FILTER_WORDS,
 ) -> DataFrame:
     """Every row of ``docs``, without its text, with the spans of bytes that repeated strings cover.
 
@@ -454,10 +469,12 @@ def repeated_substrings(
     each other whole; an empty table gives no rows.
 
     Every window of ``length`` bytes marks its gram of least hash, so equal windows meet at an equal
-    gram. Only places whose gram occurs elsewhere keep the bytes around them; places of one gram are
-    compared by suffix sorting (``Suffixes``), in bounded shards. Grams of more than ``group`` places
-    are compared window by window in an aggregation instead, which combines before it shuffles.
-    Equal texts count once from the start. Texts are told apart by 96-bit hash.
+    gram. Only places whose gram occurs elsewhere keep the bytes around them. Equal surroundings are
+    one, so copies cost little; different ones of the same gram are compared by suffix sorting
+    (``Suffixes``), in shards of about ``shard``. A gram with more than ``group`` different surroundings
+    is compared window by window in an aggregation instead, which combines before it shuffles, and
+    one with more than two shards window by window in its task. Texts are told apart by 96-bit hash,
+    surroundings by 128-bit hash.
     """
     if not 0 < gram < length:
         raise ValueError("grams are shorter than the strings")
@@ -471,31 +488,50 @@ def repeated_substrings(
     marked = store.save(texts.mapInArrow(_marker(length, gram), "a bigint, b int, at int, gram bigint"), "marks")
     # A gram counts as repeated if it is at two places of the distinct texts.
     place = F.xxhash64("a", "b", "at")
-    repeated = (
-        marked.groupBy("gram")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
-        .where(F.col("first") != F.col("last"))
-        .select("gram", (F.col("n") > group).alias("hot"))
-    )
-    places = store.save(marked.join(repeated, "gram").select("a", "b", "at", "gram", "hot"), "places")
-    of_text = places.groupBy("a", "b").agg(F.collect_set(F.struct("at", "gram", "hot")).alias("marks"))
+    repeated = marked.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    repeated = repeated.where(F.col("first") != F.col("last")).select("gram")
+    places = store.save(marked.join(repeated, "gram").select("a", "b", "at", "gram"), "places")
+    of_text = places.groupBy("a", "b").agg(F.collect_set(F.struct("at", "gram")).alias("marks"))
     once = _affected(texts, places, words).groupBy("a", "b").agg(F.first("text").alias("text"))
     around = once.join(of_text, ["a", "b"]).mapInArrow(
-        _contexts(length, reach), "gram bigint, a bigint, b int, low int, high int, hot boolean, context binary"
+        _contexts(length, reach),
+        "key binary, gram bigint, a bigint, b int, low int, high int, before int, context binary",
     )
     around = store.save(around, "contexts")
-    region = "a bigint, b int, low int, high int"
     known = around.where(F.col("context").isNull()).select("a", "b", "low", "high")
-    usual = around.where(F.col("context").isNotNull() & ~F.col("hot"))
-    sorted_ = usual.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeats(length, reach), region)
-    windows = around.where(F.col("context").isNotNull() & F.col("hot")).mapInArrow(
-        _windows(length), f"window binary, {region}"
+    marked_places = around.where(F.col("context").isNotNull())
+
+    # Equal surroundings are compared once; those of more than one place repeat whole.
+    distinct = marked_places.groupBy("key").agg(
+        F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("gram", "before", "context")]
+    )
+    distinct = store.save(distinct, "distinct")
+    sizes = distinct.groupBy("gram").agg(F.count("*").alias("members")).where(F.col("members") > group)
+    many = store.save(sizes.select("gram"), "many")
+    offsets = "key binary, least int, greatest int"
+    usual = (
+        distinct.select("key", "gram", "before", "context")
+        .join(many, "gram", "left_anti")
+        .repartition("gram")
+        .sortWithinPartitions("gram")
+        .mapInArrow(_repeats(length, reach, shard), offsets)
+    )
+    windows = (
+        distinct.select("key", "gram", "before", "context")
+        .join(many, "gram", "left_semi")
+        .mapInArrow(_windows(length, reach), "window binary, key binary, offset int")
     )
-    start = F.xxhash64("a", "b", "low")
-    starts = windows.groupBy("window").agg(F.min(start).alias("first"), F.max(start).alias("last"))
-    found_twice = starts.where(F.col("first") != F.col("last")).select("window")
-    hot = windows.join(found_twice, "window").select("a", "b", "low", "high")
-    regions = store.save(known.unionByName(sorted_).unionByName(hot), "regions")
+    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    hot = windows.join(twice, "window").groupBy("key").agg(F.min("offset").alias("least"), F.max("offset").alias("greatest"))
+    own_least = F.greatest(F.lit(0), length - F.octet_length("context") + F.col("before")).alias("least")
+    own_greatest = F.least(F.lit(reach - 1), F.col("before")).alias("greatest")
+    own = distinct.where("n > 1").select("key", own_least, own_greatest).where("least <= greatest")
+    found = own.unionByName(usual).unionByName(hot)
+    found = found.groupBy("key").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    mark = F.col("low") + F.col("before")
+    matched = marked_places.select("key", "a", "b", "low", "before").join(found, "key")
+    matched = matched.select("a", "b", (mark - F.col("greatest")).alias("low"), (mark - F.col("least") + length).alias("high"))
+    regions = store.save(known.unionByName(matched), "regions")
 
     narrow = rows.select(
         F.struct(*[F.col(f"given.`{c}`") for c in docs.columns if c != text], F.lit(1).alias("_unused")).alias("row"),
