@@ -13,6 +13,8 @@ MAX_SHARE = 0.10
 # A document is depleted if fewer words, or less of its words, than this are left.
 MIN_WORDS = 50
 MIN_LEFT = 0.5
+# Shared lines up to this number are compared within each row; more are joined.
+LITERAL_LINES = 10_000
 
 
 def _repeated(tokens: Column) -> Column:
@@ -91,6 +93,7 @@ def judge(
     min_words: int = MIN_WORDS,
     min_left: float = MIN_LEFT,
     keep_text: bool = False,
+    literal_lines: int = LITERAL_LINES,
 ) -> DataFrame:
     """Every row of ``docs`` with its counts, the words its removed lines had, and the verdict.
 
@@ -107,8 +110,10 @@ def judge(
     rules, or of which fewer than ``min_words`` words or less than ``min_left`` of the words remain.
 
     Null texts are empty texts and fail; null hosts are one host; repeated rows and ties get equal
-    verdicts; an empty table gives no rows. Texts are read whole. Only hashes and counts are
-    shuffled; counts are combined before the shuffle, so a line that every document has is no hot key.
+    verdicts; an empty table gives no rows. Texts are read whole, once to count lines and once to
+    judge. Only hashes and counts are shuffled; counts are combined before the shuffle, so a line that
+    every document has is no hot key. Up to ``literal_lines`` shared lines are looked up within the
+    row; more are joined to the documents, with the same result.
     """
     rows = packed(docs)
     body, place = F.col(f"given.`{text}`"), F.col(f"given.`{host}`")
@@ -127,19 +132,16 @@ def judge(
         lambda x: x["words"] > 0,
     )
     kept_columns = [c for c in docs.columns if keep_text or c != text]
-    narrow = rows.select(
-        F.struct(*[F.col(f"given.`{c}`") for c in kept_columns], F.lit(1).alias("_unused")).alias("row"),
-        F.monotonically_increasing_id().alias("id"),
-        F.xxhash64(place).alias("host"),
-        F.xxhash64(body, F.length(body)).alias("content"),
-        *[v.alias(k) for k, v in counts.items()],
-        line_hashes.alias("lines"),
-    )
     store = scratch(docs, "quality")
-    narrow = store.save(narrow, "documents")
 
-    distinct = narrow.groupBy("host", "content").agg(F.first("lines.line").alias("line"))
-    # The per-host line hash holds the host, so a line is one number.
+    # Texts are told apart by hash and length. The per-host line hash holds the host, so a line is one number.
+    content = F.xxhash64(body, F.length(body))
+    distinct = (
+        rows.select(F.xxhash64(place).alias("host"), content.alias("content"), line_hashes["line"].alias("line"))
+        .groupBy("host", "content")
+        .agg(F.first("line").alias("line"))
+    )
+    distinct = store.save(distinct, "distinct")
     per_line = (
         distinct.select("host", F.explode(F.array_distinct("line")).alias("line"))
         .groupBy("line")
@@ -149,20 +151,39 @@ def judge(
     per_host = distinct.groupBy("host").agg(F.count("*").alias("of"))
     shared = per_line.join(per_host, "host").where(F.col("documents") > max_share * F.col("of")).select("line")
     shared = store.save(shared, "shared")
-    hits = (
-        narrow.select("id", F.explode("lines").alias("x"))
-        .select("id", "x.line", "x.words")
-        .join(shared, "line")
-        .groupBy("id")
-        .agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed_lines"))
+
+    judged = rows.select(
+        F.struct(*[F.col(f"given.`{c}`") for c in kept_columns], F.lit(1).alias("_unused")).alias("row"),
+        F.monotonically_increasing_id().alias("id"),
+        *[v.alias(k) for k, v in counts.items()],
+        line_hashes.alias("lines"),
     )
+    lines = [r[0] for r in shared.limit(literal_lines + 1).collect()]
+    if len(lines) <= literal_lines:
+        known = F.array(*map(F.lit, lines)).cast("array<bigint>")
+        found = F.array_intersect(F.col("lines.line"), known)
+        held = F.filter("lines", lambda x: F.array_contains(F.col("removed_lines"), x["line"]))
+        total = F.aggregate(held, F.lit(0), lambda n, x: n + x["words"])
+        judged = judged.withColumn("removed_lines", found).withColumn(
+            "removed_words", F.when(F.size("removed_lines") > 0, total)
+        )
+    else:
+        judged = store.save(judged, "documents")
+        hits = (
+            judged.select("id", F.explode("lines").alias("x"))
+            .select("id", "x.line", "x.words")
+            .join(shared, "line")
+            .groupBy("id")
+            .agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed_lines"))
+        )
+        judged = judged.join(hits, "id", "left")
     n = F.col("counts.n_words")
     left = n - F.coalesce(F.col("removed_words"), F.lit(0))
     removed = F.coalesce(F.col("removed_lines"), F.array().cast("array<bigint>"))
-    cut = {text: remove_lines(body, place, removed)} if keep_text else {}
+    cut = {text: remove_lines(F.col(f"row.`{text}`"), F.col(f"row.`{host}`"), removed)} if keep_text else {}
     failed = (n < 50) | (100 * F.col("counts.n_repeat_words") > 50 * n)
-    verdict = unpacked(
-        narrow.join(hits, "id", "left"),
+    return unpacked(
+        judged,
         kept_columns,
         n_words=n,
         word_chars=F.col("counts.word_chars"),
@@ -173,9 +194,9 @@ def judge(
         removed_lines=removed,
         **cut,
         base_failed=failed,
-        kept=~failed & (left >= min_words) & (left >= min_left * n),
+        # The id keeps a later filter above the counts, which would else be computed twice.
+        kept=~failed & (left >= min_words) & (left >= min_left * n) & (F.col("id") >= 0),
     )
-    return verdict
 
 
 def remove_lines(text: Column, host: Column, removed: Column) -> Column:
