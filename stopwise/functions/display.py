@@ -29,21 +29,25 @@ def two_decimals(value: Column) -> Column:
         .otherwise(whole)
     )
     exact = (cents.try_cast("decimal(36,0)") / F.lit(100).cast("decimal(3,0)")).try_cast("decimal(38,2)")
-    chosen = F.when(F.abs(value) < _EXACT_BELOW, exact).otherwise(value.try_cast("decimal(38,2)"))
+    # Above, the value is a multiple of 2**-9; its exact decimal text is rounded half to even.
+    large = F.bround(value.try_cast("decimal(38,9)"), 2)
+    chosen = F.when(F.abs(value) < _EXACT_BELOW, exact).otherwise(large.cast("decimal(38,2)"))
     # A small negative value keeps its sign when it is rounded to zero.
     sign = F.when((value < 0) & (value > -0.005), F.lit("-")).otherwise(F.lit(""))
-    return F.when(F.isnan(value), F.lit("nan")).otherwise(F.concat(sign, F.format_number(chosen, 2)))
+    infinite = F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf"))
+    text = F.when(F.isnan(value), F.lit("nan")).when(F.abs(value) == float("inf"), infinite)
+    return text.otherwise(F.concat(sign, F.format_number(chosen, 2)))
 
 
 def format_currency(value: Column) -> Column:
-    """``R$ 1.234,50``; missing counts as zero."""
-    plain = two_decimals(F.coalesce(value.cast("double"), F.lit(0.0)))
+    """``R$ 1.234,50``; missing or unreadable counts as zero."""
+    plain = two_decimals(F.coalesce(value.try_cast("double"), F.lit(0.0)))
     return F.concat(F.lit("R$ "), F.translate(plain, ",.", ".,"))
 
 
 def format_weight(value: Column) -> Column:
-    """``1,234.50 kg``; missing counts as zero."""
-    return F.concat(two_decimals(F.coalesce(value.cast("double"), F.lit(0.0))), F.lit(" kg"))
+    """``1,234.50 kg``; missing or unreadable counts as zero."""
+    return F.concat(two_decimals(F.coalesce(value.try_cast("double"), F.lit(0.0))), F.lit(" kg"))
 
 
 def format_date(value: Column) -> Column:

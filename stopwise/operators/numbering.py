@@ -45,8 +45,14 @@ def number_within(
     offsets = first_places.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     if size_out:
         offsets = offsets.withColumn(size_out, F.sum("_rows").over(Window.partitionBy(*keys)))
+    # Null keys are a group like any other, so they are joined null-safely.
+    theirs = [f"_of_{k}" for k in keys]
+    offsets = offsets.withColumnsRenamed(dict(zip([*keys, "_part"], [*theirs, "_of_part"])))
+    same = F.col("_part") == F.col("_of_part")
+    for key, other in zip(keys, theirs):
+        same = same & F.col(key).eqNullSafe(F.col(other))
     return (
-        placed.join(offsets, [*keys, "_part"])
+        placed.join(offsets, same)
         .withColumn(out, F.col("_place") - F.col("_first") + F.col("_before") + 1)
-        .drop("_place", "_part", "_first", "_before", "_rows")
+        .drop("_place", "_part", "_first", "_before", "_rows", "_of_part", *theirs)
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +102,9 @@ def legend(report: DataFrame, name: str, rows_per_day: int | None = None) -> Dat
         entries = entries.withColumns({c: total.over(day) for c, total in totals.items()})
     else:
         entries = Scratch(report.sparkSession, "legend").save(entries, "entries")
-        entries = entries.join(entries.groupBy(*DAY).agg(*[t.alias(c) for c, t in totals.items()]), DAY)
+        days = entries.groupBy(*[F.col(c).alias(f"_of_{c}") for c in DAY]).agg(*[t.alias(c) for c, t in totals.items()])
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in DAY])
+        entries = entries.join(days, same).drop(*[f"_of_{c}" for c in DAY])
     order = [F.col("key").isNull(), F.col("first_departure"), F.col("key")]
     numbered = number_within(entries, DAY, order, "_number", rows_per_day)
     is_entry = F.col("key").isNotNull()

@@ -127,3 +127,9 @@ def test_colors_by_name(spark):
 
 def test_colors_in_turn(spark):
     assert apply(spark, [0, 9, 10, 23, None], "int", colors.cyclic_color) == ["red", "black", "red", "purple", "gray"]
+
+
+def test_large_infinite_and_unreadable_money(spark):
+    values = [1e13 + 0.125, 9e12 + 0.125, 1e13 + 0.375, 3e15, float("inf"), float("-inf")]
+    assert apply(spark, values, "double", display.two_decimals) == [f"{v:,.2f}" for v in values]
+    assert apply(spark, ["12.5", "n/a", None], "string", display.format_currency) == ["R$ 12,50", "R$ 0,00", "R$ 0,00"]

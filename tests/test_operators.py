@@ -181,3 +181,12 @@ def test_tables_are_read_with_declared_types(spark, tmp_path):
     loaded = load_tables(spark, str(tmp_path), ["drivers"])["drivers"]
     assert loaded.schema.simpleString() == "struct<driver_id:bigint,driver_name:string>"
     assert tuple(loaded.first()) == (1, "D1")
+
+
+def test_null_groups_are_numbered_on_both_branches(spark):
+    frame = spark.createDataFrame([(None, 3), (None, 1), ("a", 2), ("a", 5), (None, 2)], "g string, v int")
+    found = [
+        sorted(map(tuple, number_within(frame, ["g"], [F.col("v")], "n", rows_per_group=5, limit=limit).collect()), key=str)
+        for limit in (10, 1)
+    ]
+    assert found[0] == found[1] and len(found[0]) == 5
