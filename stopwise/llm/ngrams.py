@@ -21,7 +21,9 @@ END = b"\n"
 FLUSH_TOKENS = 3_000_000
 # Text bytes for each block of n-grams; a block is merged, and its part of the filter built, by one task.
 BLOCK_TEXT = 16_000_000
-# Words whose exact counts are broadcast; rarer words are joined. Twelve bytes each.
+# Words whose exact counts are broadcast: seen so often at least, and no more than this many, at
+# sixteen bytes each. Rarer words are joined.
+HEAD_COUNT = 3
 HEAD_WORDS = 2_000_000
 # Filter bytes that are broadcast at once; a larger filter is probed part by part.
 FILTER_BYTES = 128_000_000
@@ -326,9 +328,11 @@ def score_texts(
     # The frequent words: the lowest count so that the words with it or more are few enough.
     words = counts.where("grams = 1").select("hashes", "counts")
     histogram = words.mapInArrow(_per_block(_count_sizes, _SIZES), "count bigint, words bigint")
-    least, held = 1, 0
+    least, held = HEAD_COUNT, 0
     for count, n in histogram.groupBy("count").agg(F.sum("words")).orderBy(F.desc("count")).toLocalIterator():
         held += n
+        if count < HEAD_COUNT:
+            break
         if held > head_words:
             least = count + 1
             break
