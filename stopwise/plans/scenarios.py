@@ -99,6 +99,10 @@ def scenario(
     group = ["customer_id", "departure_ts", "op_code"]
     group += ["status"] if spec.with_priority else []
     ties = ["departure_ts", "op_code"] + group[3:]
+    if not calendar.gapless:
+        # Dates between the days that no report day looks at are left out before anything is summed.
+        leaves = F.col("departure_ts").cast("date")
+        deliveries = deliveries.join(_dates_of(calendar, spec), leaves == F.col("_wanted"), "left_semi")
     if spec.with_driver:
         deliveries = deliveries.join(drivers.select("driver_id", "driver_name"), "driver_id")
         group += ["driver_name"]
@@ -145,6 +149,18 @@ def scenario(
     return report.orderBy("as_of", "departure_ts", "customer_id") if ordered else report
 
 
+def _dates_of(calendar: Calendar, spec: Scenario) -> DataFrame:
+    """Departure dates that the report days look at."""
+    day = F.col("as_of")
+    if spec.window_days is not None:
+        dates = F.explode(F.sequence(day, F.date_add(day, spec.window_days), F.expr("interval 1 day")))
+    elif spec.normal_days is not None:
+        dates = reference_date(day, spec.normal_days)
+    else:
+        dates = F.explode(week_mon_tue(day))
+    return calendar.days.select(dates.alias("_wanted")).distinct()
+
+
 def _report_customers(customers: DataFrame, spec: Scenario) -> DataFrame:
     columns = [
         F.col("customer_id"),

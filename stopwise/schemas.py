@@ -40,6 +40,9 @@ AREAS = T.StructType([
     T.StructField("area_desc", T.StringType()),
 ])
 
+# Columns that the reports can do without.
+OPTIONAL_COLUMNS = {"saturday_priority"}
+
 TABLES = {"deliveries": DELIVERIES, "customers": CUSTOMERS, "drivers": DRIVERS, "areas": AREAS}
 
 # Column names of the operational database (fixed values), by table.

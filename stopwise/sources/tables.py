@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.functions.text import strip
-from stopwise.schemas import NETWORK_COLUMNS, ROSTER_COLUMNS, SOURCE_COLUMNS, TABLES
+from stopwise.functions.text import strip, to_ts
+from stopwise.schemas import NETWORK_COLUMNS, OPTIONAL_COLUMNS, ROSTER_COLUMNS, SOURCE_COLUMNS, TABLES
 
 
 def load_tables(spark: SparkSession, path: str, names=tuple(TABLES)) -> dict[str, DataFrame]:
@@ -19,7 +19,7 @@ def load_tables(spark: SparkSession, path: str, names=tuple(TABLES)) -> dict[str
 
 def _read_parquet(spark: SparkSession, path: str, name: str) -> DataFrame:
     found = spark.read.parquet(path)
-    wanted = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name] if f.name in found.columns]
+    wanted = _declared(name, {f.name: f.name for f in TABLES[name]}, found)
     partitions = [F.col(c) for c in found.columns if c == "departure_date"]
     return found.select(*wanted, *partitions)
 
@@ -44,33 +44,37 @@ def load_jdbc_tables(
 
 def from_source_names(name: str, table: DataFrame) -> DataFrame:
     """Rename and cast the columns of the operational database to the names used here."""
-    types = {f.name: f.dataType for f in TABLES[name]}
-    return table.select(
-        *[
-            F.col(f"`{old}`").cast(types[new]).alias(new)
-            for old, new in SOURCE_COLUMNS[name].items()
-            if old in table.columns
-        ]
-    )
+    return table.select(*_declared(name, SOURCE_COLUMNS[name], table))
+
 
+def _declared(name: str, columns: dict[str, str], found: DataFrame) -> list[Column]:
+    """The columns by their new names and declared types; unreadable values are null.
 
-def _text_schema(columns) -> str:
-    return ", ".join(f"`{c}` string" for c in columns)
+    A missing column is an error unless the scenarios can do without it.
+    """
+    types = {f.name: f.dataType for f in TABLES[name]}
+    missing = [old for old, new in columns.items() if old not in found.columns and new not in OPTIONAL_COLUMNS]
+    if missing:
+        raise ValueError(f"table {name!r} lacks {', '.join(missing)}")
+    read = []
+    for old, new in columns.items():
+        if old in found.columns:
+            value = F.col(f"`{old}`")
+            value = to_ts(value) if types[new].typeName() == "timestamp_ntz" else value.try_cast(types[new])
+            read.append(value.alias(new))
+    return read
 
 
 def read_roster(spark: SparkSession, path: str) -> DataFrame:
     """Route roster: ``;``-separated, header, UTF-8 with or without byte order mark.
 
-    ``row_no`` is the position in the file, for the rule that the last line of a route wins.
+    Columns are found by name, wherever they stand. ``row_no`` is the position in the file (files by
+    path), for the rule that the last line of a route wins.
     """
-    lines = (
-        spark.read.schema(_text_schema(ROSTER_COLUMNS))
-        .csv(path, sep=";", header=True, encoding="UTF-8")
-        .withColumnsRenamed(ROSTER_COLUMNS)
-    )
-    return lines.withColumn("row_no", F.monotonically_increasing_id()).withColumns(
-        {"route": strip(F.col("route")), "driver_name": strip(F.col("driver_name"))}
-    )
+    found = spark.read.csv(path, sep=";", header=True, inferSchema=False, encoding="UTF-8")
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    lines = found.select(*[F.col(f"`{old}`").alias(new) for old, new in ROSTER_COLUMNS.items()], place.alias("row_no"))
+    return lines.withColumns({"route": strip(F.col("route")), "driver_name": strip(F.col("driver_name"))})
 
 
 def read_networks(spark: SparkSession, path: str) -> DataFrame:

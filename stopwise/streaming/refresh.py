@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,6 +19,9 @@ EVERY = "5 minutes"
 # No scenario looks further back or ahead of its report day than this many days.
 LOOKS_BACK, LOOKS_AHEAD = 5, 7
 
+# Partitions of the store: month, batch, and whether a delivery left the date instead of being on it.
+_STORED = ("departure_month", "batch", "gone")
+
 
 def touched_days(arrived: DataFrame, name: str) -> DataFrame:
     """Report days whose rows may change because of these deliveries.
@@ -45,6 +48,64 @@ def _month_folders(store: str, days: list[date]) -> str:
     return f"{store}/departure_month={{{','.join(map(str, months))}}}"
 
 
+def _write_store(rows: DataFrame, store: str) -> None:
+    (
+        rows.withColumn("_date", F.col("departure_ts").cast("date"))
+        .hint("rebalance", "_date")
+        .drop("_date")
+        .sortWithinPartitions("departure_month", "departure_ts")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*_STORED)
+        .parquet(store)
+    )
+
+
+def _one_version(rows: DataFrame) -> DataFrame:
+    """One row a delivery: of several, the one with the greatest columns. Rows without id all stay."""
+    others = [c for c in ("departure_ts", *rows.columns) if c != "delivery_id"]
+    alone = F.when(F.col("delivery_id").isNull(), F.monotonically_increasing_id()).alias("_alone")
+    chosen = rows.groupBy("delivery_id", alone).agg(F.max(F.struct(*dict.fromkeys(others))).alias("_row"))
+    return chosen.select(*[F.col(c) if c == "delivery_id" else F.col(f"_row.{c}").alias(c) for c in rows.columns])
+
+
+def _moved_away(rows: DataFrame, batch_id: int) -> DataFrame:
+    """Marks for the dates that this batch's deliveries had in earlier batches and have no longer.
+
+    The history is searched by id, reading two columns of the files whose ids overlap the batch's.
+    """
+    mine = rows.where(F.col("batch") == batch_id).select("delivery_id", F.col("departure_ts").alias("_now"))
+    low, high = mine.agg(F.min("delivery_id"), F.max("delivery_id")).first()
+    earlier = rows.where((F.col("batch") < batch_id) & ~F.col("gone") & F.col("delivery_id").between(low, high))
+    earlier = earlier.select("delivery_id", "departure_ts").join(mine, "delivery_id")
+    left = earlier.where(~F.col("departure_ts").cast("date").eqNullSafe(F.col("_now").cast("date")))
+    marks = left.groupBy("delivery_id", F.col("departure_ts").cast("date").alias("_date")).agg(
+        F.min("departure_ts").alias("departure_ts")
+    )
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
+    own = {
+        "delivery_id": F.col("delivery_id"),
+        "departure_ts": F.col("departure_ts"),
+        "departure_month": F.trunc("departure_ts", "month"),
+        "batch": F.lit(batch_id).cast("long"),
+        "gone": F.lit(True),
+    }
+    return marks.select(*[own[f.name].alias(f.name) if f.name in own else c for f, c in zip(rows.schema, blank)])
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """Stored deliveries as the last batch that had them left them.
+
+    A batch leaves a row or a mark on every date that it changes for a delivery, so dates can be
+    looked at one by one, and a filter on the date can come first.
+    """
+    alone = F.when(F.col("delivery_id").isNull(), F.monotonically_increasing_id())
+    keyed = rows.withColumns({"_date": F.col("departure_ts").cast("date"), "_alone": alone})
+    window = Window.partitionBy("delivery_id", "_date", "_alone").orderBy(F.desc("batch"), "gone")
+    ranked = keyed.withColumn("_rank", F.row_number().over(window)).where("_rank = 1 and not gone")
+    return ranked.drop("_date", "_alone", "_rank", *_STORED)
+
+
 def refresh_stream(
     deliveries: DataFrame,
     dimensions: dict[str, DataFrame],
@@ -57,40 +118,44 @@ def refresh_stream(
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Keep a scenario report up to date with a stream of deliveries.
+    """Keep a scenario report up to date with a stream of new and changed deliveries.
 
-    Each batch adds its deliveries to ``store``, partitioned by departure month and batch, finds the
-    report days they touch and replaces those days in ``report`` from the stored deliveries. Only the
-    months that the touched days look at are listed, and within them the files are kept by date and
+    A delivery that arrives again replaces its earlier version; of several versions in one batch the
+    one with the latest departure counts. Each batch writes its deliveries to ``store``, partitioned
+    by departure month and batch, with marks on the dates that they left, finds the report days that
+    either touches and replaces those days in ``report``, also where no rows are left. Only the
+    months that the touched days look at are read, and within them the files are kept by date and
     sorted, so that the date filter skips what it does not need, however long the history. A batch
     that is run again rewrites the same partitions. ``within`` limits the report to certain days,
-    ``prepare`` completes the arrived rows.
+    ``prepare`` completes the arrived rows. ``store`` and ``checkpoint`` belong together.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        arrived = prepare(batch).withColumns(
-            {"departure_month": F.trunc("departure_ts", "month"), "batch": F.lit(batch_id)}
-        )
-        (
-            arrived.withColumn("_date", F.col("departure_ts").cast("date"))
-            .hint("rebalance", "_date")
-            .drop("_date")
-            .sortWithinPartitions("departure_month", "departure_ts")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("departure_month", "batch")
-            .parquet(store)
+        prepared = prepare(batch)
+        arrived = _one_version(prepared).withColumns(
+            {
+                "departure_month": F.trunc("departure_ts", "month"),
+                "batch": F.lit(batch_id).cast("long"),
+                "gone": F.lit(False),
+            }
         )
-        days = touched_days(arrived, name)
+        _write_store(arrived, store)
+        if batch_id:
+            _write_store(_moved_away(spark.read.schema(arrived.schema).parquet(store), batch_id), store)
+        rows = spark.read.schema(arrived.schema).parquet(store)
+        days = touched_days(rows.where(F.col("batch") == batch_id), name)
         if within is not None:
             days = days.join(within.days, "as_of", "left_semi")
         # At most one row per day of the calendar.
         touched = [row.as_of for row in days.collect()]
         if touched:
+            calendar = Calendar.of(spark, *touched)
+            first, last = calendar.first - timedelta(LOOKS_BACK), calendar.last + timedelta(LOOKS_AHEAD)
             stored = spark.read.schema(arrived.schema).option("basePath", store).parquet(_month_folders(store, touched))
-            fresh = scenario(name, stored, calendar=Calendar.of(spark, *touched), **dimensions)
-            write_report(fresh, report, name)
+            near = stored.where(F.col("departure_ts").cast("date").between(F.lit(first), F.lit(last)))
+            fresh = scenario(name, newest(near), calendar=calendar, **dimensions)
+            write_report(fresh, report, name, calendar.days)
 
     return (
         deliveries.writeStream.foreachBatch(apply)

@@ -183,6 +183,22 @@ def test_tables_are_read_with_declared_types(spark, tmp_path):
     assert tuple(loaded.first()) == (1, "D1")
 
 
+def test_unreadable_values_are_null_and_missing_columns_an_error(spark):
+    columns = "M06_ID string, M06_ID_CLIENTE long, M06_ID_A76 int, M06_STATUS int, M06_ID_M13 long, M06_DTSAIDA string"
+    source = spark.createDataFrame([("x", 1, 38, 1, 1, "no day", 2.0)], f"{columns}, M06_VOL_PESOL double")
+    with pytest.raises(ValueError, match="M06_TOTPRO"):
+        from_source_names("deliveries", source)
+    read = from_source_names("deliveries", source.withColumn("M06_TOTPRO", F.lit("3.5"))).first()
+    assert (read.delivery_id, read.departure_ts, read.revenue) == (None, None, 3.5)
+
+
+def test_roster_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "roster.csv"
+    path.write_bytes(b"\xef\xbb\xbfMOTORISTA;SEMANA;ROTA;A14_ID;COD ROTA\nDRV_1;A;L82-A;1;10\nDRV_9;B;L82-A;1;10\n")
+    found = read_roster(spark, str(path))
+    assert [tuple(r) for r in roster_lookup(found).collect()] == [("L82-A", "DRV_9")]
+
+
 def test_null_groups_are_numbered_on_both_branches(spark):
     frame = spark.createDataFrame([(None, 3), (None, 1), ("a", 2), ("a", 5), (None, 2)], "g string, v int")
     found = [

@@ -85,3 +85,35 @@ def test_touched_days_hold_every_day_that_changes(spark):
             one = spark.createDataFrame([(1, 1, spec.ops[0], 1, 1, day(d), 1.0, 1.0)], DELIVERIES)
             reported = scenario(name, one, calendar=span, areas=areas, **tables).select("as_of")
             assert reported.exceptAll(touched_days(one, name)).isEmpty(), (name, d)
+
+
+def test_a_day_without_rows_is_emptied(spark, tmp_path):
+    path, tables = str(tmp_path / "report"), dimensions(spark)
+    calendar = Calendar.of(spark, day(10).date(), day(11).date())
+    for rows in (FIRST, FIRST[:1]):
+        report = scenario("same_day_by_driver", spark.createDataFrame(rows, DELIVERIES), calendar=calendar, **tables)
+        write_report(report, path, "same_day_by_driver", calendar.days)
+    assert [(r.as_of.day, r.customer_id) for r in spark.read.parquet(path).collect()] == [(10, 1)]
+
+
+CHANGES = [
+    (1, 1, 38, 1, 1, day(10), 1.0, 1.0),  # as before
+    (2, 2, 38, 4, 1, day(11), 2.0, 2.0),  # of a status that is not reported
+    (3, 3, 38, 1, 1, datetime(2024, 7, 2, 8), 3.0, 3.0),  # moved to another month
+    (6, 5, 38, 1, 1, day(12), 5.0, 5.0),
+    (6, 5, 38, 1, 1, day(12), 5.0, 5.0),  # twice in one batch
+]
+
+
+def test_changed_and_repeated_deliveries_replace_themselves(spark, tmp_path):
+    name, root = "six_day_by_date", str(tmp_path)
+    back = [(3, 3, 38, 1, 1, day(28), 4.0, 3.0)]
+    known = {}
+    for rows in (FIRST, CHANGES, back):
+        spark.createDataFrame(rows, DELIVERIES).coalesce(1).write.mode("append").parquet(f"{root}/arrivals")
+        run_stream(spark, root, name)
+        known.update({r[0]: r for r in rows})
+        span = Calendar.span(spark, day(1).date(), datetime(2024, 7, 10).date())
+        whole = scenario(name, spark.createDataFrame(list(known.values()), DELIVERIES), calendar=span, **dimensions(spark))
+        streamed = spark.read.parquet(f"{root}/report").select(whole.columns)
+        assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, whole.collect()))

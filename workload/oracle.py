@@ -18,7 +18,7 @@ from stopwise.constants import (
     ROUTE_COLORS,
 )
 from workload.queries import ONE_SUPERVISOR, SELECTION
-from workload.tables import EXCLUDED, FIRST_DAY, LAST_DAY, OP_CODES
+from workload.tables import EXCLUDED, OP_CODES
 
 
 def _texts(values) -> str:
@@ -29,10 +29,11 @@ def _numbers(values) -> str:
     return ", ".join(map(str, values))
 
 
-CALENDAR = f"""
+CALENDAR = """
 calendar AS (
   SELECT CAST(d AS DATE) AS as_of FROM (
-    SELECT unnest(generate_series(DATE '{FIRST_DAY}', DATE '{LAST_DAY}', INTERVAL 1 DAY)) AS d))"""
+    SELECT unnest(generate_series(min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)), INTERVAL 1 DAY)) AS d
+    FROM orders))"""
 
 DELIVERIES = f"""
 deliveries AS (
@@ -461,6 +462,11 @@ SELECT CAST(position // 1000 AS INTEGER) AS part,
   '[' || string_agg('{{"name":"' || name || '","color":"' || color || '"}}', ',' ORDER BY position) || ']' AS color_list
 FROM palette GROUP BY position // 1000""",
     "roster_lookup": f"WITH {ROSTER} SELECT route, driver_name FROM roster_map",
+    "roster_from_file": f"WITH {ROSTER} SELECT route, driver_name FROM roster_map",
+    "scattered_days": f"{report_sql('six_day_by_date')} WHERE day(as_of) = 15",
+    "scenario_without_roster": f"""WITH {report_ctes("interior_eight_day_by_roster")}
+SELECT * {_ROUND_REPORT[:-1]}, 'SEM ROTA DEFINIDA' AS driver_name) FROM report""",
+    "tables_from_parquet": report_sql("same_day_by_driver"),
     "written_report": f"WITH {_SAME_DAY} SELECT 'same_day_by_driver' AS scenario, * {_ROUND_REPORT} FROM report",
     "stream_refresh": report_sql("same_day_by_driver"),
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +19,9 @@ from stopwise.operators.storage import Scratch, row_bound
 from stopwise.plans import master as masters
 from stopwise.plans import reports
 from stopwise.plans.scenarios import SCENARIOS, find_scenario, route_keys, scenario
-from stopwise.schemas import NETWORK_COLUMNS
+from stopwise.schemas import NETWORK_COLUMNS, ROSTER_COLUMNS
 from stopwise.sources.sinks import write_report
-from stopwise.sources.tables import read_networks
+from stopwise.sources.tables import load_tables, read_networks, read_roster
 from stopwise.streaming.refresh import refresh_stream
 from workload import tables as t
 
@@ -43,7 +42,7 @@ def report(name: str, spark: SparkSession, sf: str, calendar: Calendar | None =
         t.customers(spark, sf),
         t.drivers(spark, sf),
         t.areas(spark, sf),
-        calendar=calendar or t.whole_calendar(spark),
+        calendar=calendar or t.whole_calendar(spark, sf),
         roster=t.roster(spark, sf),
     )
 
@@ -99,6 +98,50 @@ def scenario_report(name: str, spark: SparkSession, sf: str) -> DataFrame:
     return _report_shape(report(name, spark, sf))
 
 
+def scattered_days(spark: SparkSession, sf: str) -> DataFrame:
+    """The six-day report for the fifteenth of every month only."""
+    days = Calendar.from_frame(t.whole_calendar(spark, sf).days.where(F.day("as_of") == 15))
+    return _report_shape(report("six_day_by_date", spark, sf, days))
+
+
+def scenario_without_roster(spark: SparkSession, sf: str) -> DataFrame:
+    """The roster scenario without its optional file: every driver is the fallback."""
+    rows = scenario(
+        "interior_eight_day_by_roster",
+        t.deliveries(spark, sf),
+        t.customers(spark, sf),
+        areas=t.areas(spark, sf),
+        calendar=t.whole_calendar(spark, sf),
+    )
+    return _report_shape(rows)
+
+
+def roster_from_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The roster's drivers with the roster read from a file whose columns stand in another order."""
+    path = f"{Scratch(spark, 'files').root}/roster"
+    old_names = {new: old for old, new in ROSTER_COLUMNS.items()}
+    lines = t.roster(spark, sf).orderBy("row_no").select(
+        "week_code", "driver_name", "route", F.lit("").alias("route_code"), F.lit("").alias("area_id")
+    )
+    lines.coalesce(1).withColumnsRenamed(old_names).write.csv(
+        path, sep=";", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    return roster_lookup(read_roster(spark, path))
+
+
+def tables_from_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    """The same-day report with its tables stored as text where a type can be, and loaded."""
+    root = Scratch(spark, "tables").root
+    made = {"deliveries": t.deliveries, "customers": t.customers, "drivers": t.drivers, "areas": t.areas}
+    for name, make in made.items():
+        stored = make(spark, sf)
+        if name == "deliveries":
+            stored = stored.withColumn("departure_ts", F.col("departure_ts").cast("string"))
+        stored.write.parquet(f"{root}/{name}")
+    loaded = load_tables(spark, root)
+    return _report_shape(scenario("same_day_by_driver", **loaded, calendar=t.whole_calendar(spark, sf)))
+
+
 def scenario_totals(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(reports.report_totals(report("same_day_by_driver", spark, sf)), 2, "revenue")
 
@@ -293,58 +336,43 @@ def roster_drivers(spark: SparkSession, sf: str) -> DataFrame:
     return roster_lookup(t.roster(spark, sf))
 
 
-@contextmanager
-def _many_small_folders(spark: SparkSession):
-    """Settings for writing and listing thousands of tiny day folders on one machine.
-
-    Spark would write kilobytes with one task and list the folders with one task each; both are right
-    for large days on a cluster, where nothing is changed.
-    """
-    small = {
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
-        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16KB",
-        "spark.sql.sources.parallelPartitionDiscovery.threshold": "10000",
-    }
-    before = {key: spark.conf.get(key) for key in small}
-    if spark.sparkContext.master.startswith("local"):
-        for key, value in small.items():
-            spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
-
-
 def written_report(spark: SparkSession, sf: str) -> DataFrame:
     """A report written by scenario and day, read back."""
     path = f"{Scratch(spark, 'reports').root}/written"
-    with _many_small_folders(spark):
-        write_report(report("same_day_by_driver", spark, sf), path, "same_day_by_driver")
-        return _report_shape(spark.read.parquet(path))
+    days = t.whole_calendar(spark, sf).days
+    write_report(report("same_day_by_driver", spark, sf), path, "same_day_by_driver", days)
+    return _report_shape(spark.read.parquet(path))
 
 
 def stream_refresh(spark: SparkSession, sf: str) -> DataFrame:
     """The same-day report built by the stream that watches the orders."""
     root = Scratch(spark, "stream").root
     orders = spark.readStream.schema(t.SCHEMAS["orders"]).parquet(f"{sf}/orders.parquet*")
-    with _many_small_folders(spark):
-        refresh_stream(
-            orders,
-            {"customers": t.customers(spark, sf), "drivers": t.drivers(spark, sf)},
-            "same_day_by_driver",
-            f"{root}/deliveries",
-            f"{root}/report",
-            f"{root}/checkpoint",
-            within=t.whole_calendar(spark),
-            prepare=lambda batch: t.deliveries_of(batch, t.table(spark, sf, "lineitem")),
-            trigger={"availableNow": True},
-        ).awaitTermination()
-        return _report_shape(spark.read.parquet(f"{root}/report").drop("scenario"))
+    refresh_stream(
+        orders,
+        {"customers": t.customers(spark, sf), "drivers": t.drivers(spark, sf)},
+        "same_day_by_driver",
+        f"{root}/deliveries",
+        f"{root}/report",
+        f"{root}/checkpoint",
+        within=t.whole_calendar(spark, sf),
+        prepare=lambda batch: t.deliveries_of(batch, _lines_of(batch, t.table(spark, sf, "lineitem"))),
+        trigger={"availableNow": True},
+    ).awaitTermination()
+    return _report_shape(spark.read.parquet(f"{root}/report").drop("scenario"))
+
+
+def _lines_of(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """The lines of these orders, found before any is summed."""
+    keys = orders.select(F.col("o_orderkey").alias("l_orderkey"))
+    return lineitem.join(keys, "l_orderkey", "left_semi")
 
 
 QUERIES = {
     **{name: partial(scenario_report, name) for name in SCENARIOS},
+    "scattered_days": scattered_days,
+    "scenario_without_roster": scenario_without_roster,
+    "tables_from_parquet": tables_from_parquet,
     "scenario_totals": scenario_totals,
     "driver_totals": driver_totals,
     "scenario_legend": partial(_legend, "next_day_by_driver"),
@@ -388,6 +416,7 @@ QUERIES = {
     "customer_markers": customer_markers,
     "palette_json": palette_json,
     "roster_lookup": roster_drivers,
+    "roster_from_file": roster_from_file,
     "written_report": written_report,
     "stream_refresh": stream_refresh,
 }

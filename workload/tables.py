@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from stopwise.operators.calendar import Calendar
 
 OP_CODES = (38, 39, 100, 1171, 101, 172, 112, 130, 113, 45, 46, 104, 105, 110, 111, 114, 115, 49, 50, 61, 999)
-FIRST_DAY, LAST_DAY = date(1995, 1, 1), date(2001, 8, 1)
 EXCLUDED = ("005 - L80-NATION_5", "002 - L80-NATION_2")
 
 
@@ -35,8 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def whole_calendar(spark: SparkSession) -> Calendar:
-    return Calendar.span(spark, FIRST_DAY, LAST_DAY)
+def whole_calendar(spark: SparkSession, sf_dir: str) -> Calendar:
+    """Every day from the first order to the last; one day if there are no orders."""
+    leaves = F.col("o_orderdate").cast("date")
+    first, last = table(spark, sf_dir, "orders").agg(F.min(leaves), F.max(leaves)).first()
+    return Calendar.span(spark, first or date(1970, 1, 1), last or date(1970, 1, 1))
 
 
 def deliveries_of(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     driver = (F.col("key") + F.when(F.col("week_code") == "B", F.col("key") % 2).otherwise(0)) % 4
     return lines.select(
-        (F.when(F.col("week_code") == "B", 1000).otherwise(0) + F.col("key")).alias("row_no"),
+        F.struct("week_code", "key").alias("row_no"),
         "route",
         F.concat(F.lit("DRV_"), driver.cast("string")).alias("driver_name"),
         "week_code",
