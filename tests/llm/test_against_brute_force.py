@@ -10,7 +10,6 @@ from collections import Counter
 import numpy as np
 import pytest
 
-import corpus_pipeline
 from stopwise.llm import decontaminate, licenses, mixing, ngrams, pages, quality, sharding, simhash, substrings, wordpieces
 
 SF = "/root/testdata/sf0.001"
@@ -281,15 +280,3 @@ def test_license_phrases_and_notices(spark, documents, texts):
     wrapped = licenses.NOTICES[10][1].replace(" copies", "\ncopies").replace(" to ", "\nto ")
     frame = spark.createDataFrame([(1, f"Intro.\n\n{wrapped}\n\nEnd."), (2, "the license is released")], "doc_id int, text string")
     assert {r.doc_id: r.labels for r in licenses.scan(frame).collect()} == {1: "mit", 2: ""}
-
-
-def test_pipeline_stages(spark, documents):
-    items = {tuple(WORD.findall(lower(r.text))) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
-    rows = corpus_pipeline.run(spark, SF).collect()
-    kept = {r.doc_id for r in quality.judge(documents).where("kept").collect()}
-    firsts = {r.component_id for r in simhash.near_duplicates(documents.where(documents.doc_id.isin(list(kept)))).collect()}
-    assert {r.doc_id for r in rows} <= firsts
-    assert len(items) and set(corpus_pipeline.COLUMNS) < set(rows[0].asDict())
-    for shard in {r.shard for r in rows}:
-        slots = sorted(r.slot for r in rows if r.shard == shard)
-        assert slots == list(range(len(slots)))
