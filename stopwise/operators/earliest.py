@@ -16,6 +16,7 @@ def delivery_groups(
     The sums depend on the departure but not on the day the report is for, so they are made once,
     before any delivery is multiplied over report days. Spark combines them before the shuffle, and
     the shuffle is by the whole group key, which a single busy customer or driver cannot overload.
+    Decimal amounts are summed as decimals.
     """
     leaves = F.col("departure_ts")
     wanted = deliveries.where(
@@ -31,8 +32,8 @@ def delivery_groups(
     return (
         wanted.groupBy(*keys)
         .agg(
-            F.sum(F.coalesce("weight_kg", F.lit(0.0))).alias("weight_kg"),
-            F.sum(F.coalesce("revenue", F.lit(0.0))).alias("revenue"),
+            F.sum(F.coalesce("weight_kg", F.lit(0))).alias("weight_kg"),
+            F.sum(F.coalesce("revenue", F.lit(0))).alias("revenue"),
         )
         .withColumn("departure_date", F.col("departure_ts").cast("date"))
     )

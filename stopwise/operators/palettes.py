@@ -9,14 +9,20 @@ from stopwise.constants import NO_MARKER_COLOR
 from stopwise.functions.colors import palette_color
 from stopwise.operators.facets import ALL, FACETS, Selection, facet_filter, visible_vendors
 from stopwise.operators.numbering import number_within
-from stopwise.operators.storage import broadcast_checked
+from stopwise.operators.storage import Scratch, broadcast_checked
 
 # Entries of one palette text; longer palettes are written as several texts.
 JSON_ENTRIES = 1_000
 
 
 def _palette(names: DataFrame, order: list[Column], rounded: bool, rows: int | None) -> DataFrame:
-    """Position and colour of each distinct name; the hues are spread over the number of names."""
+    """Position and colour of each distinct name; the hues are spread over the number of names.
+
+    Without a proved bound ``rows`` the names are written, which are few, and counted.
+    """
+    if rows is None:
+        names = Scratch(names.sparkSession, "palette").save(names, "names")
+        rows = names.count()
     everything = names.withColumn("_all", F.lit(0))
     numbered = number_within(everything, ["_all"], order, "_number", rows, size_out="_count")
     position = F.col("_number") - 1
@@ -54,15 +60,18 @@ def master_legend(master: DataFrame, selection: Selection, rows: int | None = No
 
 
 def colored_master(master: DataFrame, selection: Selection, rows: int | None = None) -> DataFrame:
-    """Customers shown, each with the colour of its vendor or supervisor."""
+    """Customers shown, each with the colour of its vendor or supervisor.
+
+    The master is written once, because both the names and the customers are read from it.
+    """
+    store = Scratch(master.sparkSession, "colored")
+    master = store.save(master, "master")
     vendors = by_vendor(selection, master)
     shown = facet_filter(master, selection)
     palette = vendor_palette(shown, rows) if vendors else supervisor_palette(master, rows)
     key = "vendor_name" if vendors else "supervisor"
-    colors = palette.select(F.col("name").alias(key), "color")
-    if rows is not None:
-        colors = broadcast_checked(colors, rows)
-    return shown.join(colors, key, "left").withColumn("color", F.coalesce("color", F.lit(NO_MARKER_COLOR)))
+    colors = store.save(palette.select(F.col("name").alias(key), "color"), "colors")
+    return shown.join(broadcast_checked(colors), key, "left").withColumn("color", F.coalesce("color", F.lit(NO_MARKER_COLOR)))
 
 
 def customer_markers(master: DataFrame, rows: int | None = None) -> DataFrame:

@@ -94,10 +94,9 @@ def _walk_counted(stops: DataFrame, keys: list[str], depot, ties, limit: int) ->
     stops = scratch.save(stops, "stops")
     lengths = stops.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     long_routes = scratch.save(lengths.where(F.col("_rows") > limit).drop("_rows"), "long")
-    count = long_routes.count()
-    if count == 0:
+    if long_routes.isEmpty():
         return _walk_short(stops, keys, depot, ties)
-    marks = broadcast_checked(long_routes, count)
+    marks = broadcast_checked(long_routes)
     short = _walk_short(stops.join(marks, keys, "left_anti"), keys, depot, ties)
     long = _number_long(stops.join(marks, keys, "left_semi"), keys, depot, ties, limit)
     return short.unionByName(long)
@@ -190,13 +189,12 @@ def _walk_sites(sites: DataFrame, keys: list[str], depot, limit: int) -> DataFra
         ),
         "here=0",
     )
-    routes = here.count()
     step, found = 0, None
     while not remaining.isEmpty():
         step += 1
-        away = _with_rings(remaining.join(broadcast_checked(here, routes), keys))
+        away = _with_rings(remaining.join(broadcast_checked(here), keys))
         loads = scratch.save(_choose_load(away, keys, limit), f"load={step}")
-        chosen = away.join(broadcast_checked(loads, routes), [*keys, "block"])
+        chosen = away.join(broadcast_checked(loads), [*keys, "block"])
         loaded = chosen.where(F.col("ring") <= F.col("last_ring"))
         crowded = loads.where(F.col("last_ring").isNull())
         if not crowded.isEmpty():

@@ -12,6 +12,8 @@ _own_folder: dict[str, str] = {}
 
 # Rows that one task may hold or sort as a single group.
 TASK_ROWS = 1_000_000
+# Measured bytes up to which a table is broadcast.
+BROADCAST_BYTES = 32_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,17 +50,16 @@ def row_bound(*tables: DataFrame) -> int:
     return sum(t.select(F.lit(1)).count() for t in tables)
 
 
-def broadcast_checked(df: DataFrame, rows: int, limit: int = TASK_ROWS) -> DataFrame:
-    """Broadcast a table of ``rows`` narrow rows if that is few enough, else leave the join to Spark."""
-    return F.broadcast(df) if rows <= limit else df
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the values of ``df``: texts as long as they are, every column eight bytes besides."""
+    texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if f.dataType.typeName() == "string"]
+    row = sum(texts, F.lit(8 * len(df.columns))).cast("bigint")
+    return df.agg(F.sum(row)).first()[0] or 0
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``; runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def broadcast_checked(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a table whose values, measured by a job, take no more than ``limit`` bytes.
 
-
-def catalyst_broadcasts(df: DataFrame) -> bool:
-    """Whether Catalyst's own size check would already broadcast ``df``."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return planned_bytes(df) <= limit
+    Beyond that the join is left to Spark.
+    """
+    return F.broadcast(df) if measured_bytes(df) <= limit else df

@@ -9,7 +9,7 @@ from stopwise.constants import EXCLUDED_AREAS, IS_CLIENT, NO_SUPERVISOR
 from stopwise.functions.text import key_text, region, to_number
 from stopwise.operators.roster import enrich_networks
 from stopwise.operators.routes import placeable
-from stopwise.operators.storage import Scratch, broadcast_checked, catalyst_broadcasts
+from stopwise.operators.storage import BROADCAST_BYTES, Scratch, broadcast_checked, measured_bytes
 from stopwise.plans.scenarios import active
 
 ATTRIBUTES = ("region", "area_desc", "customer_id", "trade_name", "vendor_name", "supervisor", "network", "subnetwork")
@@ -21,11 +21,13 @@ def customer_master(
     networks: DataFrame | None = None,
     excluded_areas=EXCLUDED_AREAS,
     extended: bool = True,
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Placed, active clients of the areas not excluded.
 
     Vendors and supervisors are partners of the same table. ``extended=False`` leaves out region and
-    networks, as the smaller variant of the report does.
+    networks, as the smaller variant of the report does. Names and networks of up to ``limit`` bytes
+    are broadcast.
     """
     kept_areas = areas.where(F.col("area_desc").isNotNull() & ~F.col("area_desc").isin(*excluded_areas))
     clients = placeable(
@@ -36,7 +38,7 @@ def customer_master(
     ).select("customer_id", "trade_name", "lat", "lon", "area_id", "vendor_id", "supervisor_id")
     named = clients.join(kept_areas.select("area_id", "area_desc"), "area_id")
 
-    partners = _named_partners(customers)
+    partners = _named_partners(customers, limit)
     vendors = partners.select(F.col("partner_id").alias("vendor_id"), F.col("partner_name").alias("vendor_name"))
     supervisors = partners.select(F.col("partner_id").alias("supervisor_id"), F.col("partner_name").alias("supervisor"))
     master = (
@@ -47,7 +49,7 @@ def customer_master(
     columns = ["trade_name", "lat", "lon", "area_desc", "vendor_id", "vendor_name", "supervisor"]
     if not extended:
         return master.select(key_text(F.col("customer_id")).alias("customer_id"), *columns)
-    enriched = enrich_networks(master, networks)
+    enriched = enrich_networks(master, networks, limit)
     return enriched.select(
         key_text(F.col("customer_id")).alias("customer_id"),
         *columns,
@@ -57,7 +59,7 @@ def customer_master(
     )
 
 
-def _named_partners(customers: DataFrame) -> DataFrame:
+def _named_partners(customers: DataFrame, limit: int) -> DataFrame:
     """Names of the partners that are some customer's vendor or supervisor.
 
     A small table is broadcast as it is. From a large one only the referenced partners are kept and
@@ -65,11 +67,11 @@ def _named_partners(customers: DataFrame) -> DataFrame:
     shuffle the customers by the key that a single vendor may dominate.
     """
     partners = customers.select(F.col("customer_id").alias("partner_id"), F.col("person_name").alias("partner_name"))
-    if catalyst_broadcasts(partners):
-        return partners
+    if measured_bytes(partners) <= limit:
+        return F.broadcast(partners)
     referenced = customers.select(F.explode(F.array("vendor_id", "supervisor_id")).alias("partner_id")).distinct()
     kept = Scratch(customers.sparkSession, "partners").save(partners.join(referenced, "partner_id", "left_semi"), "kept")
-    return broadcast_checked(kept, kept.count())
+    return broadcast_checked(kept, limit)
 
 
 def centroid(master: DataFrame) -> DataFrame:

@@ -35,7 +35,15 @@ def driver_totals(report: DataFrame) -> DataFrame:
     return named.groupBy(*DAY, "driver_name").agg(F.sum("revenue").alias("revenue"))
 
 
+def _largest_day(entries: DataFrame) -> int:
+    return entries.groupBy(*DAY).count().agg(F.max("count")).first()[0] or 0
+
+
 def _palette(distinct: DataFrame, order: list[Column], rows_per_day: int | None) -> DataFrame:
+    """Positions and colours; without a proved bound the entries are written and those of each day counted."""
+    if rows_per_day is None:
+        distinct = Scratch(distinct.sparkSession, "palette").save(distinct, "entries")
+        rows_per_day = _largest_day(distinct)
     numbered = number_within(distinct, DAY, order, "_number", rows_per_day)
     position = (F.col("_number") - 1).alias("position")
     return numbered.select("*", position, cyclic_color(F.col("_number") - 1).alias("color")).drop("_number")
@@ -79,11 +87,12 @@ def legend_date(name: str, as_of: Column) -> Column:
     return F.lit(None).cast("date")
 
 
-def legend(report: DataFrame, name: str, rows_per_day: int | None = None) -> DataFrame:
+def legend(report: DataFrame, name: str, rows_per_day: int | None = None, limit: int = TASK_ROWS) -> DataFrame:
     """One row per driver (or departure time) of a report day, with its colour and the day's totals.
 
     A report has each customer once per day, so the day's totals are sums over the entries and the
-    report is read once. Rows without a driver count in the totals and are no entry.
+    report is read once. Rows without a driver count in the totals and are no entry. Without a proved
+    bound ``rows_per_day`` the entries are written and those of each day counted.
     """
     key = find_scenario(name).route_key
     by_time = key == "departure_ts"
@@ -98,16 +107,18 @@ def legend(report: DataFrame, name: str, rows_per_day: int | None = None) -> Dat
         "total_revenue": F.sum("entry_revenue"),
         "_named": F.count("key"),
     }
-    if rows_per_day is not None and rows_per_day <= TASK_ROWS:
+    if rows_per_day is None:
+        entries = Scratch(report.sparkSession, "legend").save(entries, "entries")
+        rows_per_day = _largest_day(entries)
+    if rows_per_day <= limit:
         day = Window.partitionBy(*DAY)
         entries = entries.withColumns({c: total.over(day) for c, total in totals.items()})
     else:
-        entries = Scratch(report.sparkSession, "legend").save(entries, "entries")
         days = entries.groupBy(*[F.col(c).alias(f"_of_{c}") for c in DAY]).agg(*[t.alias(c) for c, t in totals.items()])
         same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in DAY])
         entries = entries.join(days, same).drop(*[f"_of_{c}" for c in DAY])
     order = [F.col("key").isNull(), F.col("first_departure"), F.col("key")]
-    numbered = number_within(entries, DAY, order, "_number", rows_per_day)
+    numbered = number_within(entries, DAY, order, "_number", rows_per_day, limit)
     is_entry = F.col("key").isNotNull()
     # A day on which nobody is named keeps one row for its totals.
     kept = numbered.where(is_entry | (F.col("_named") == 0))

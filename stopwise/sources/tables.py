@@ -50,9 +50,11 @@ def from_source_names(name: str, table: DataFrame) -> DataFrame:
 def _declared(name: str, columns: dict[str, str], found: DataFrame) -> list[Column]:
     """The columns by their new names and declared types; unreadable values are null.
 
+    Amounts that the source holds as decimals stay decimals, whose sums are exact in any order.
     A missing column is an error unless the scenarios can do without it.
     """
     types = {f.name: f.dataType for f in TABLES[name]}
+    given = {f.name: f.dataType for f in found.schema}
     missing = [old for old, new in columns.items() if old not in found.columns and new not in OPTIONAL_COLUMNS]
     if missing:
         raise ValueError(f"table {name!r} lacks {', '.join(missing)}")
@@ -60,7 +62,10 @@ def _declared(name: str, columns: dict[str, str], found: DataFrame) -> list[Colu
     for old, new in columns.items():
         if old in found.columns:
             value = F.col(f"`{old}`")
-            value = to_ts(value) if types[new].typeName() == "timestamp_ntz" else value.try_cast(types[new])
+            if types[new].typeName() == "timestamp_ntz":
+                value = to_ts(value)
+            elif (types[new].typeName(), given[old].typeName()) != ("double", "decimal"):
+                value = value.try_cast(types[new])
             read.append(value.alias(new))
     return read
 

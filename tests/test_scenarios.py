@@ -1,6 +1,7 @@
 """Scenarios against the anchors of the derived tables and on small cases that trap shortcuts."""
 
 from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from stopwise.operators.calendar import Calendar
 from stopwise.plans import master as masters
 from stopwise.plans import reports
 from stopwise.plans.scenarios import SCENARIOS, scenario
-from stopwise.schemas import AREAS, CUSTOMERS, DELIVERIES, DRIVERS
+from stopwise.schemas import AREAS, CUSTOMERS, DELIVERIES, DRIVERS, SOURCE_COLUMNS
+from stopwise.sources.tables import from_source_names
 from workload import tables as t
 from workload.queries import report
 
@@ -174,8 +176,8 @@ def test_totals_count_customers_without_a_place(spark):
     assert reports.bounding_box(rows.where("customer_id = 1"), (-3.0, -39.0)).isEmpty()
 
 
-@pytest.mark.parametrize("bound", [100, None])
-def test_legends(spark, bound):
+@pytest.mark.parametrize(("bound", "limit"), [(100, 100), (None, 100), (100, 0), (None, 0)])
+def test_legends(spark, bound, limit):
     noon = MON.replace(hour=12)
     deliveries = [
         (1, 1, 38, 1, 2, MON, 1.0, 1000.5),
@@ -184,7 +186,7 @@ def test_legends(spark, bound):
     ]
     tables = frames(spark, deliveries)
     day = Calendar.of(spark, SAT.date())
-    rows = reports.legend(scenario("same_day_by_driver", *tables, calendar=day), "same_day_by_driver", bound)
+    rows = reports.legend(scenario("same_day_by_driver", *tables, calendar=day), "same_day_by_driver", bound, limit)
     got = [tuple(r)[1:] for r in rows.orderBy("position").collect()]
     totals = (3, 1015.5, "R$ 1.015,50", "03/06/2024")
     assert got == [
@@ -192,10 +194,13 @@ def test_legends(spark, bound):
         (*totals, 1, "D1", "blue", 10.0, "R$ 10,00"),
     ]
     nobody = reports.legend(
-        scenario("same_day_by_driver", *tables, calendar=day).where("driver_name is null"), "same_day_by_driver", bound
+        scenario("same_day_by_driver", *tables, calendar=day).where("driver_name is null"),
+        "same_day_by_driver",
+        bound,
+        limit,
     ).collect()
     assert [tuple(r)[1:6] for r in nobody] == [(1, 5.0, "R$ 5,00", "03/06/2024", None)]
-    times = reports.legend(scenario("six_day_by_date", *tables, calendar=day), "six_day_by_date", bound)
+    times = reports.legend(scenario("six_day_by_date", *tables, calendar=day), "six_day_by_date", bound, limit)
     assert [(r.legend_date, r.entry, r.color, r.entry_revenue) for r in times.orderBy("position").collect()] == [
         ("01/06/2024", "03/06/2024", "red", None),
         ("01/06/2024", "03/06/2024", "blue", None),
@@ -213,6 +218,19 @@ def test_palettes_follow_the_first_departure(spark, bound):
     assert {r.departure_ts.hour: r.color for r in times.collect()} == {8: "red", 12: "blue"}
 
 
+def test_decimal_amounts_are_summed_as_decimals(spark):
+    deliveries = [(i, 1, 38, 1, 2, MON, 1.0, 0.1) for i in range(30)] + [(30, 1, 38, 1, 2, MON, None, None)]
+    made, *others = frames(spark, deliveries)
+    exact = made.withColumn("revenue", F.col("revenue").cast("decimal(18,2)"))
+    exact = exact.select(*[F.col(c).alias(old) for old, c in SOURCE_COLUMNS["deliveries"].items()])
+    rows = scenario(
+        "same_day_by_driver", from_source_names("deliveries", exact), *others, calendar=Calendar.of(spark, MON.date())
+    )
+    assert rows.first().revenue == Decimal("3.00")
+    assert reports.report_totals(rows).first().revenue == Decimal("3.00")
+    assert reports.legend(rows, "same_day_by_driver").first().total_text == "R$ 3,00"
+
+
 def test_stop_details_have_defaults_for_missing_columns(spark):
     frame = spark.createDataFrame([(1, None)], "customer_id long, trade_name string")
     row = reports.stop_details(frame).first()
@@ -232,18 +250,13 @@ CLIENTS = [
 LABELS = [(1, "1 - L81-A"), (2, None), (3, "999 - L80-INDUSTRIA"), (4, "4 - x L82 y")]
 
 
-@pytest.mark.parametrize("threshold", ["10MB", "-1"])
-def test_customer_master(spark, threshold):
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_customer_master(spark, limit):
     _, customers, _, areas = frames(spark, [], CLIENTS, areas=LABELS)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    try:
-        master = masters.customer_master(customers, areas)
-        rows = {r.customer_id: r for r in master.collect()}
-        basic = masters.customer_master(customers, areas, extended=False)
-        assert "region" not in basic.columns and basic.count() == 2
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    master = masters.customer_master(customers, areas, limit=limit)
+    rows = {r.customer_id: r for r in master.collect()}
+    basic = masters.customer_master(customers, areas, extended=False, limit=limit)
+    assert "region" not in basic.columns and basic.count() == 2
     assert sorted(rows) == ["1", "7"]
     first, second = rows["1"], rows["7"]
     assert (first.vendor_name, first.supervisor, first.region, first.network) == ("Bob", "Cy", "L81-CAPITAL", "")

@@ -52,6 +52,13 @@ def customer_count(spark: SparkSession, sf: str) -> int:
     return row_bound(t.table(spark, sf, "customer"))
 
 
+def driver_count(name: str, spark: SparkSession, sf: str) -> int:
+    """Drivers there are: no legend of a day has more. A roster's are at most its lines, and the fallback."""
+    if name == "interior_eight_day_by_roster":
+        return 2 * row_bound(t.table(spark, sf, "nation")) + 1
+    return row_bound(t.table(spark, sf, "supplier"))
+
+
 def stops_of(name: str, spark: SparkSession, sf: str) -> DataFrame:
     depot = find_scenario(name).depot
     return route_stops(report(name, spark, sf), route_keys(name), depot, rows_per_route=customer_count(spark, sf))
@@ -151,16 +158,20 @@ def driver_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _legend(name: str, spark: SparkSession, sf: str) -> DataFrame:
-    rows = reports.legend(report(name, spark, sf), name, customer_count(spark, sf))
+    # Departure times have no table to bound them, so they are counted.
+    bound = None if name == "six_day_by_date" else driver_count(name, spark, sf) + 1
+    rows = reports.legend(report(name, spark, sf), name, bound)
     return _rounded(rows, 2, "total_revenue", "entry_revenue")
 
 
 def route_palette(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.route_palette(report("next_day_by_driver", spark, sf), customer_count(spark, sf))
+    return reports.route_palette(
+        report("next_day_by_driver", spark, sf), driver_count("next_day_by_driver", spark, sf)
+    )
 
 
 def date_palette(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.date_palette(report("six_day_by_date", spark, sf), customer_count(spark, sf))
+    return reports.date_palette(report("six_day_by_date", spark, sf))
 
 
 def bounding_boxes(spark: SparkSession, sf: str) -> DataFrame:
@@ -272,13 +283,14 @@ def centroid(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(masters.centroid(master(spark, sf)), 6, "lat", "lon")
 
 
-def master_bound(spark: SparkSession, sf: str) -> int:
-    """Customers and network lines: at most so many rows, values and names in the master."""
-    return 2 * customer_count(spark, sf)
+def value_bound(spark: SparkSession, sf: str) -> int:
+    """Customers and network lines: a facet has at most one value of each."""
+    lines = t.networks(spark, sf).select(F.lit(1)).count()
+    return customer_count(spark, sf) + lines
 
 
 def facet_values(spark: SparkSession, sf: str) -> DataFrame:
-    return facets.facet_values(master(spark, sf), master_bound(spark, sf))
+    return facets.facet_values(master(spark, sf), value_bound(spark, sf))
 
 
 def facet_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -302,16 +314,16 @@ def visible_vendors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def supervisor_palette(spark: SparkSession, sf: str) -> DataFrame:
-    return palettes.supervisor_palette(master(spark, sf), master_bound(spark, sf))
+    return palettes.supervisor_palette(master(spark, sf))
 
 
 def vendor_palette(spark: SparkSession, sf: str) -> DataFrame:
     shown = facets.facet_filter(master(spark, sf), ONE_SUPERVISOR)
-    return palettes.vendor_palette(shown, master_bound(spark, sf))
+    return palettes.vendor_palette(shown)
 
 
 def master_legend(spark: SparkSession, sf: str) -> DataFrame:
-    return palettes.master_legend(master(spark, sf), ONE_SUPERVISOR, master_bound(spark, sf))
+    return palettes.master_legend(master(spark, sf), ONE_SUPERVISOR)
 
 
 def hash_colors(spark: SparkSession, sf: str) -> DataFrame:
@@ -320,12 +332,12 @@ def hash_colors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def colored_markers(spark: SparkSession, sf: str) -> DataFrame:
-    colored = palettes.colored_master(master(spark, sf), ONE_SUPERVISOR, master_bound(spark, sf))
+    colored = palettes.colored_master(master(spark, sf), ONE_SUPERVISOR)
     return _rounded(colored, 6, "lat", "lon")
 
 
 def customer_markers(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(palettes.customer_markers(master(spark, sf), master_bound(spark, sf)), 6, "lat", "lon")
+    return _rounded(palettes.customer_markers(master(spark, sf)), 6, "lat", "lon")
 
 
 def palette_json(spark: SparkSession, sf: str) -> DataFrame:
