@@ -160,12 +160,13 @@ def judge(
     )
     lines = [r[0] for r in shared.limit(literal_lines + 1).collect()]
     if len(lines) <= literal_lines:
-        known = F.array(*map(F.lit, lines)).cast("array<bigint>")
-        found = F.array_intersect(F.col("lines.line"), known)
-        held = F.filter("lines", lambda x: F.array_contains(F.col("removed_lines"), x["line"]))
-        total = F.aggregate(held, F.lit(0), lambda n, x: n + x["words"])
-        judged = judged.withColumn("removed_lines", found).withColumn(
-            "removed_words", F.when(F.size("removed_lines") > 0, total)
+        # A set of literals is looked up at the same cost however many they are.
+        judged = judged.withColumn("held", F.filter("lines", lambda x: x["line"].isin(lines))).select(
+            "row",
+            "id",
+            *counts,
+            F.array_distinct("held.line").alias("removed_lines"),
+            F.aggregate("held", F.lit(0), lambda n, x: n + x["words"]).alias("removed_words"),
         )
     else:
         judged = store.save(judged, "documents")
