@@ -15,6 +15,8 @@ MIN_WORDS = 50
 MIN_LEFT = 0.5
 # Shared lines up to this number are compared within each row; more are joined.
 LITERAL_LINES = 10_000
+# A text is one of a group of near copies if lines of other texts of its host hold this share of its words.
+COPY_SHARE = 0.75
 
 
 def _repeated(tokens: Column) -> Column:
@@ -84,6 +86,41 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), SPACE, " "), r"\d+", "0"))
 
 
+def near_copies(texts: DataFrame, copy_share: float) -> DataFrame:
+    """Distinct texts (``host content held``) with ``content`` replaced by one value per group of near copies.
+
+    Lines are compared as they are. A text belongs to a group if lines that another text of the host
+    holds have ``copy_share`` of its words. Such lines are ordered by the texts that hold them, and the
+    line in the middle of their words names the group: boilerplate stands above it and edited lines
+    below, so a group has a few names at most, however many texts and edits it has.
+    """
+    lines = texts.select("host", "content", F.explode("held").alias("x")).select("host", "content", "x.raw", "x.words")
+    times = lines.groupBy("raw").agg(F.count("*").alias("times")).where("times > 1")
+    common = (
+        lines.join(times, "raw")
+        .groupBy("host", "content")
+        .agg(
+            F.sum("words").alias("common"),
+            F.sort_array(F.collect_list(F.struct("times", "raw", "words"))).alias("found"),
+        )
+    )
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("raw"))
+    middle = F.aggregate(
+        "found",
+        start,
+        lambda at, x: F.when(2 * at["n"] >= F.col("common"), at).otherwise(
+            F.struct((at["n"] + x["words"]).alias("n"), x["raw"].alias("raw"))
+        ),
+    )
+    named = common.select("host", "content", "common", middle["raw"].alias("name"))
+    total = F.aggregate("held", F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    return texts.join(named, ["host", "content"], "left").select(
+        "host",
+        F.when(F.col("common") >= copy_share * total, F.col("name")).otherwise(F.col("content")).alias("content"),
+        "held",
+    )
+
+
 def judge(
     docs: DataFrame,
     text: str = "text",
@@ -94,6 +131,7 @@ def judge(
     min_left: float = MIN_LEFT,
     keep_text: bool = False,
     literal_lines: int = LITERAL_LINES,
+    copy_share: float | None = None,
 ) -> DataFrame:
     """Every row of ``docs`` with its counts, the words its removed lines had, and the verdict.
 
@@ -106,7 +144,8 @@ def judge(
     Lines are normalised and hashed with their host. A line is removed in a host if more than
     ``min_documents`` and more than ``max_share`` of the host's documents hold it. Documents with
     equal texts count as one, so copies do not make each other's lines look like boilerplate; which
-    copy to keep is the business of deduplication. ``kept`` is false for texts that fail the base
+    copy to keep is the business of deduplication. With ``copy_share``, near copies count as one too
+    (see ``near_copies``); without it texts that differ in a byte are counted each, as in the SQL. ``kept`` is false for texts that fail the base
     rules, or of which fewer than ``min_words`` words or less than ``min_left`` of the words remain.
 
     Null texts are empty texts and fail; null hosts are one host; repeated rows and ties get equal
@@ -118,37 +157,45 @@ def judge(
     rows = packed(docs)
     body, place = F.col(f"given.`{text}`"), F.col(f"given.`{host}`")
     counts = text_counts(body)
-    line_hashes = F.filter(
-        F.transform(
-            F.split(F.coalesce(body, F.lit("")), "\n"),
-            lambda line: let(
-                normalised(line),
-                lambda x: F.struct(
-                    F.xxhash64(place, x).alias("line"),
-                    F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("words"),
-                ),
+    all_lines = F.transform(
+        F.split(F.coalesce(body, F.lit("")), "\n"),
+        lambda line: let(
+            normalised(line),
+            lambda x: F.struct(
+                F.xxhash64(place, x).alias("line"),
+                F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("words"),
             ),
         ),
-        lambda x: x["words"] > 0,
     )
+    line_hashes = F.filter(all_lines, lambda x: x["words"] > 0)
     kept_columns = [c for c in docs.columns if keep_text or c != text]
     store = scratch(docs, "quality")
 
     # Texts are told apart by hash and length. The per-host line hash holds the host, so a line is one number.
     content = F.xxhash64(body, F.length(body))
+    held = line_hashes["line"]
+    if copy_share is not None:
+        raw = F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), lambda line: F.xxhash64(place, line))
+        held = F.zip_with(all_lines, raw, lambda x, r: x.withField("raw", r))
+        held = F.filter(held, lambda x: x["words"] > 0)
     distinct = (
-        rows.select(F.xxhash64(place).alias("host"), content.alias("content"), line_hashes["line"].alias("line"))
+        rows.select(F.xxhash64(place).alias("host"), content.alias("content"), held.alias("held"))
         .groupBy("host", "content")
-        .agg(F.first("line").alias("line"))
+        .agg(F.array_distinct(F.first("held")).alias("held"))
     )
     distinct = store.save(distinct, "distinct")
+    if copy_share is not None:
+        distinct = store.save(near_copies(distinct, copy_share), "copies")
+    holding = distinct.select("host", "content", F.explode("held" if copy_share is None else F.array_distinct("held.line")).alias("line"))
+    if copy_share is not None:
+        holding = holding.distinct()
     per_line = (
-        distinct.select("host", F.explode(F.array_distinct("line")).alias("line"))
-        .groupBy("line")
+        holding.groupBy("line")
         .agg(F.count("*").alias("documents"), F.first("host").alias("host"))
         .where(F.col("documents") > min_documents)
     )
-    per_host = distinct.groupBy("host").agg(F.count("*").alias("of"))
+    hosts = distinct.select("host", "content")
+    per_host = (hosts if copy_share is None else hosts.distinct()).groupBy("host").agg(F.count("*").alias("of"))
     shared = per_line.join(per_host, "host").where(F.col("documents") > max_share * F.col("of")).select("line")
     shared = store.save(shared, "shared")
 
