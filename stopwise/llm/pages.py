@@ -22,7 +22,7 @@ _INLINE = frozenset(
 )
 _RAW = frozenset("script style textarea title noframes noembed iframe xmp".split())
 _NOISE_TAGS = frozenset(
-    "head script style textarea title noscript iframe template nav footer aside form menu dialog select button svg"
+    "head script style textarea title noscript iframe template nav footer aside menu dialog select button svg"
     " canvas object audio video map noframes noembed".split()
 )
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
@@ -39,6 +39,14 @@ _FURNITURE = frozenset(
     " subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share"
     " sharing social widget widgets toolbar pagination pager login search skip copyright alert paywall".split()
 )
+# Of these, those that no layout uses around its text.
+_NOTICES = frozenset("cookie cookies consent gdpr newsletter paywall popup".split())
+# Lines of so many words are sentences; menus and labels have fewer.
+_SENTENCE = 10
+# A form or a block named like furniture is kept if it has this share of the page's sentences.
+_BODY_SHARE = 0.5
+# Articles, or main, are the text if they have this share of the sentences of what is around them.
+_REGION_SHARE = 0.25
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -50,7 +58,7 @@ _NAME_PART = re.compile(r"(?<![a-z])(?:no|has|with|without|is)[-_][a-z]+|[a-z]+"
 
 
 def _kind(tag: str, attributes: str) -> str:
-    """What an element's tag and attributes make it: ``noise``, ``header`` or nothing."""
+    """What an element's tag and attributes make it: ``noise``, ``header``, ``?`` and a name if in doubt, or nothing."""
     if tag in _NOISE_TAGS:
         return "noise"
     found = {}
@@ -58,7 +66,7 @@ def _kind(tag: str, attributes: str) -> str:
         for name, *values in _ATTRIBUTE.findall(attributes):
             found.setdefault(name.lower(), next(filter(None, values), "").lower())
     if not found:
-        return "header" if tag == "header" else ""
+        return "?form" if tag == "form" else "header" if tag == "header" else ""
     style = found.get("style", "").replace(" ", "")
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style:
         return "noise"
@@ -67,23 +75,31 @@ def _kind(tag: str, attributes: str) -> str:
     if found.get("role") in _NOISE_ROLES:
         return "noise"
     parts = set(_NAME_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{found.get('class', '')} {found.get('id', '')}")))
-    unwanted = _COMMENTS | _ADVERTS if tag in ("article", "main") else _COMMENTS | _ADVERTS | _FURNITURE
-    if parts & unwanted:
+    if parts & (_COMMENTS | _ADVERTS):
         return "noise"
+    named = parts & _FURNITURE if tag not in ("article", "main") else set()
+    if named & _NOTICES or named and (tag == "header" or "header" in parts):
+        return "noise"
+    if named or tag == "form":
+        return "?" + " ".join(sorted(named) or ["form"])
     return "header" if tag == "header" or "header" in parts and tag not in ("article", "main") else ""
 
 
 def page_lines(page: str | None) -> list[tuple[str, bool]]:
     """The page's text blocks in order, each with whether differencing may delete it.
 
-    Noise (scripts, menus, headers, footers, forms, adverts, notices, comments, hidden elements) is
-    left out. If there are articles, only their text counts, else that of ``main``, else all. What
-    stands in a paragraph, heading, list or table of an article or main is open to no deletion.
+    Noise (scripts, menus, headers, footers, adverts, comments, hidden elements) is left out. Forms and
+    blocks named like furniture (widget, share, notice) are noise too, unless those of one name hold
+    half of the page's sentences; named blocks that stay are open to deletion. If articles hold a
+    quarter of the sentences of main, or of the page without main, only their text counts; else main's
+    if it holds a quarter of the page's, else all. What else stands in a paragraph, heading, list or
+    table of an article or main is open to no deletion.
     """
     page = page or ""
-    lines: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, str, int, bool]] = []  # tag, kind, region, prose
-    kind, region, prose = "", 0, False
+    lines: list[tuple[str, int, bool, frozenset[str]]] = []
+    # tag, kind, region (1 in main, 2 in an article, 3 in both), prose, names in doubt
+    stack: list[tuple[str, str, int, bool, frozenset[str]]] = []
+    kind, region, prose, doubts = "", 0, False, frozenset()
     parts: list[str] = []
     at, size = 0, len(page)
 
@@ -92,16 +108,16 @@ def page_lines(page: str | None) -> list[tuple[str, bool]]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                lines.append((text, region, prose))
+                lines.append((text, region, prose, doubts))
 
     def add(text: str) -> None:
         if kind != "noise" and (kind != "header" or any(s[0] in _HEADINGS for s in stack)):
             parts.append(text)
 
     def pop_to(depth: int) -> None:
-        nonlocal kind, region, prose
+        nonlocal kind, region, prose, doubts
         del stack[depth:]
-        kind, region, prose = stack[-1][1:] if stack else ("", 0, False)
+        kind, region, prose, doubts = stack[-1][1:] if stack else ("", 0, False, frozenset())
 
     while at < size:
         found = _TAG.search(page, at)
@@ -141,18 +157,36 @@ def page_lines(page: str | None) -> list[tuple[str, bool]]:
                 if name not in _INLINE:
                     break
         own = _kind(tag, attributes)
+        within = doubts
+        if own.startswith("?"):
+            within, own = doubts | {own[1:]}, ""
         inside = kind if kind == "noise" or not own else own
         if own == "header" and region == 0:
             inside = "noise"
-        new_region = 2 if tag == "article" else max(region, 1) if tag == "main" else region
-        stack.append((tag, inside, new_region, prose or tag in _PROSE))
-        kind, region, prose = stack[-1][1:]
+        new_region = region | (2 if tag == "article" else 1 if tag == "main" else 0)
+        stack.append((tag, inside, new_region, prose or tag in _PROSE, within))
+        kind, region, prose, doubts = stack[-1][1:]
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b", re.I).search(page, at)
             at = end.start() if end else size
     flush()
-    best = max((r for _, r, _ in lines), default=0)
-    return [(t, not (p and best)) for t, r, p in lines if r == best]
+    weights = [len(t) if t.count(" ") >= _SENTENCE - 1 else 0 for t, *_ in lines]
+    whole = sum(weights)
+    held = {name: 0 for *_, d in lines for name in d}
+    for (*_, names), weight in zip(lines, weights):
+        for name in names:
+            held[name] += weight
+    little = {name for name, weight in held.items() if not weight or weight < _BODY_SHARE * whole}
+    left = [(line, weight) for line, weight in zip(lines, weights) if not line[3] & little]
+    # Articles beside main come first if they hold no less than main.
+    beside = [w for x, w in left if x[1] == 2]
+    first = beside and sum(beside) >= sum(w for x, w in left if x[1] & 1)
+    best = 0
+    for bit in (2,) if first else (1, 2):
+        inside = [x for x in left if x[0][1] & bit]
+        if inside and sum(w for _, w in inside) >= _REGION_SHARE * sum(w for _, w in left):
+            left, best = inside, bit
+    return [(t, not (p and best) or bool(d - {"form"})) for (t, _, p, d), _ in left]
 
 
 def page_host(url: Column) -> Column:
