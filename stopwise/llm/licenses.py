@@ -60,6 +60,22 @@ NOTICES = (
         " General Public License as published by the Free Software Foundation, either version 3 of the License,"
         " or any later version",
     ),
+    # One notice for each paragraph, as plain license files separate them by blank lines.
+    (
+        "mpl",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the"
+        " MPL was not distributed with this file, You can obtain one at",
+    ),
+    (
+        "bsd",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and"
+        " the following disclaimer in the documentation and/or other materials provided with the distribution",
+    ),
+    (
+        "apache",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is"
+        " distributed on an AS IS basis, without warranties or conditions of any kind, either express or implied",
+    ),
 )
 # Share of a notice's words that a block must hold.
 CONTAINMENT = 0.9
