@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm import decontaminate, licenses, mixing, ngrams, pages, quality, sharding, simhash, substrings, wordpieces
-from stopwise.llm.common import table
+from stopwise.llm import (
+    decontaminate,
+    licenses,
+    mixing,
+    ngrams,
+    pages,
+    periodicity,
+    quality,
+    resampling,
+    sharding,
+    simhash,
+    substrings,
+    toxicity,
+    wordpieces,
+)
+from stopwise.llm.common import let, table, words
 
 
 # The vocabulary that the token counts use; any file of its form will do.
@@ -94,6 +108,59 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth text, by a hash of its id, repeats a part of itself from some word on, as the query's contract says.
+
+    With h the CRC-32 of the decimal id, g its tenth part, and n words, each word i >= a becomes word
+    a + (i - a) mod p, where a = g mod n and p = 1 + floor((n - a) / (3 + g mod 8)). A null id repeats nothing.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("bigint")
+
+    def repeated(found):
+        n = F.size(found).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("bigint")
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        moved = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.get(found, place(i).cast("int")))
+        return F.when(n > 0, F.array_join(moved, " ")).otherwise(F.lit(""))
+
+    text = F.when(h % 10 == 0, let(words(F.col("text")), repeated)).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodicity.find_runs(with_planted_periods(docs), least=24, exponent=3)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    top = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        top["start"].alias("start"),
+        top["length"].alias("length"),
+        top["period"].alias("period"),
+        F.floor(1000 * top["length"] / top["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = resampling.resample(docs, table(spark, sf_dir, "benchmark"), seed=7, percent=25, least_words=20)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = lambda key: F.crc32(key.cast("string").cast("binary")) % 3
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels, learn_from=remainder(F.col("_key")) != 1)
+    held_out = F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out")
+    return toxicity.score_texts(docs, model, threshold=0.7).select("doc_id", held_out, "score", "predicted")
+
+
 QUERIES = {
     "op1_token_counts": token_counts,
     "op2_page_text": page_text,
@@ -105,4 +172,7 @@ QUERIES = {
     "op8_source_mix": source_mix,
     "op9_benchmark_hits": benchmark_hits,
     "op10_license_scan": license_scan,
+    "op11_periodic_runs": periodic_runs,
+    "op12_target_resampling": target_resampling,
+    "op13_toxicity_scores": toxicity_scores,
 }

@@ -9,10 +9,13 @@ from stopwise.llm import (
     mixing,
     ngrams,
     pages,
+    periodicity,
     quality,
+    resampling,
     sharding,
     simhash,
     substrings,
+    toxicity,
     wordpieces,
 )
 
@@ -24,6 +27,10 @@ def benchmark(spark):
     return spark.createDataFrame(rows, "item_id long, text string")
 
 
+def labelled(spark):
+    return spark.createDataFrame([(0, 0), (2, 0), (3, 0), (3, 1), (4, 1), (4, 1), (None, 1), (7, None)], "doc_id long, toxic int")
+
+
 OPERATORS = {
     "tokens": (lambda df: wordpieces.count_tokens(df, VOCABULARY), "n_tokens", 0),
     "pages": (lambda df: pages.main_text(df.withColumn("url", F.lit(None).cast("string")), page="text"), "text", ""),
@@ -35,6 +42,9 @@ OPERATORS = {
     "mixing": (mixing.mix, "taken", 0),
     "decontaminate": (lambda df: decontaminate.find_contamination(df, benchmark(df.sparkSession)), "n_hit", 0),
     "licenses": (licenses.scan, "labels", ""),
+    "periodicity": (periodicity.find_runs, "collapsed", ""),
+    "resampling": (lambda df: resampling.resample(df, benchmark(df.sparkSession)), "n_features", 0),
+    "toxicity": (lambda df: toxicity.score_texts(df, toxicity.learn(df, labelled(df.sparkSession))), "predicted", 0),
 }
 
 
