@@ -27,7 +27,7 @@ WEAK, STRONG = 1.5, 3.0
 FOLDS = 4
 # Words between a lexicon word and a second person that still count as near.
 NEAR = 5
-# Words that a task remembers.
+# Words that a task remembers, and counts that it gathers.
 REMEMBERED = 200_000
 BUCKETS = 4_096
 
@@ -65,11 +65,11 @@ _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 def _plain(core: str) -> str:
     """A lower-case word with signs read as letters, other signs left out and repeated letters once."""
-    if core.isalpha():
-        return _REPEATED.sub(r"\1", core)
-    if not any(map(str.isalpha, core)):
-        return core
-    return _REPEATED.sub(r"\1", _NOT_LETTER.sub("", core.translate(SIGNS)))
+    if not core.isalpha():
+        if not any(map(str.isalpha, core)):
+            return core
+        core = _NOT_LETTER.sub("", core.translate(SIGNS))
+    return _REPEATED.sub(r"\1", core)
 
 
 def _terms(word: str) -> list[str]:
@@ -79,6 +79,10 @@ def _terms(word: str) -> list[str]:
 
 def _core(token: str) -> str:
     """The token from its first to its last letter or digit, in lower case."""
+    if token.isalpha():
+        return token.lower()
+    if token[:-1].isalpha() and not token[-1].isdigit():
+        return token[:-1].lower()
     found = _INNER.search(token)
     return found.group().lower() if found else ""
 
@@ -88,26 +92,33 @@ class Reader:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self._forget()
-
-    def _forget(self) -> None:
+        # How the entries begin: a word that begins otherwise is not among them.
+        self._heads = {term[: STEMS[0]] for term in lexicon} | {term for term in lexicon if len(term) < STEMS[0]}
         self._known: dict[str, int] = {}
+        # Words outside of the lexicon share the row of their values.
+        self._shared: dict[tuple, int] = {}
         self._rows: list[tuple] = []
         self._table = np.empty((0, len(_COLUMNS)))
 
     def _odds(self, word: str) -> float:
-        return max((self.lexicon.get(t, 0.0) for t in _terms(word)), default=0.0) if word else 0.0
+        if word[: STEMS[0]] not in self._heads:
+            return 0.0
+        return max(self.lexicon.get(t, 0.0) for t in _terms(word))
 
     def _look(self, token: str) -> int:
+        """The row of the token's values, which is added if it is a new one."""
         core = _core(token)
         plain = _plain(core)
         odds, read = self._odds(core), self._odds(plain) if plain != core else 0.0
-        hidden = plain != core and any(map(str.isalpha, core))
         best = max(odds, read)
-        letters = sum(map(str.isalpha, token))
-        digits = sum(map(str.isdigit, token))
-        capitals = sum(map(str.isupper, token))
-        row = (
+        size = len(token)
+        if token.isalpha():
+            letters, digits = size, 0
+        else:
+            letters, digits = sum(map(str.isalpha, token)), sum(map(str.isdigit, token))
+        capitals = 0 if token.islower() else sum(map(str.isupper, token))
+        hidden = plain != core and any(map(str.isalpha, core))
+        values = (
             best,
             WEAK <= best,
             STRONG <= best,
@@ -115,15 +126,20 @@ class Reader:
             letters >= 3 and capitals == letters,
             capitals,
             token.count("!"),
-            len(token) - letters - digits,
+            size - letters - digits,
             digits,
             hidden,
             hidden and read >= WEAK > odds,
-            len(token),
+            size,
         )
-        self._rows.append(row)
-        self._known[token] = len(self._rows) - 1
-        return len(self._rows) - 1
+        row = None if best else self._shared.get(values)
+        if row is None:
+            row = len(self._rows)
+            self._rows.append(values)
+            if not best:
+                self._shared[values] = row
+        self._known[token] = row
+        return row
 
     def _spelled(self, tokens: list[str]) -> list[str]:
         """Words written as single letters, four at least, one after another."""
@@ -143,13 +159,14 @@ class Reader:
         if not n:
             return [0.0] * len(FEATURES)
         if len(self._known) > REMEMBERED:
-            self._forget()
+            self._known.clear()
+            self._shared.clear()
+            self._rows, self._table = [], self._table[:0]
         known, look = self._known, self._look
-        ids = [known[t] if t in known else look(t) for t in tokens]
+        ids = np.array([known[t] if t in known else look(t) for t in tokens])
         if len(self._table) < len(self._rows):
             fresh = np.array(self._rows[len(self._table) :], np.float64)
             self._table = np.concatenate((self._table, fresh))
-        ids = np.array(ids)
         rows = self._table[ids]
         total = dict(zip(_COLUMNS, rows.sum(axis=0).tolist()))
         hits = np.flatnonzero(rows[:, 1])
@@ -181,15 +198,23 @@ class Reader:
             total["digit"] / size,
             total["hidden"] / n,
             100 * (total["hidden_hit"] + spelled) / n,
-            len(np.unique(ids)) / n,
+            len(set(tokens)) / n,
         ]
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts of each fold and label the words and beginnings are."""
+    """In how many texts of each fold and label the words and beginnings are, in parts to be summed."""
+    terms_of: dict[str, list[str]] = {}
+    found: dict[tuple, int] = {}
+
+    def counted() -> pa.RecordBatch:
+        columns = list(zip(*found)) or [(), (), ()]
+        arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()))]
+        arrays.append(pa.array(list(found.values()), pa.int64()))
+        found.clear()
+        return pa.RecordBatch.from_arrays(arrays, names=["term", "fold", "toxic", "n"])
+
     for batch in batches:
-        found: dict[tuple, int] = {}
-        terms_of: dict[str, list[str]] = {}
         for text, fold, toxic in zip(*(batch.column(c).to_pylist() for c in ("text", "fold", "toxic"))):
             seen: set[str] = set()
             for token in set((text or "").split()):
@@ -197,14 +222,15 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if terms is None:
                     core = _core(token)
                     terms = [t for w in {core, _plain(core)} if len(w) > 1 for t in _terms(w)]
+                    if len(terms_of) >= REMEMBERED:
+                        terms_of.clear()
                     terms_of[token] = terms
                 seen.update(terms)
             for term in seen:
                 found[term, fold, toxic] = found.get((term, fold, toxic), 0) + 1
-        columns = list(zip(*found)) or [(), (), ()]
-        arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()))]
-        arrays.append(pa.array(list(found.values()), pa.int64()))
-        yield pa.RecordBatch.from_arrays(arrays, names=["term", "fold", "toxic", "n"])
+            if len(found) >= REMEMBERED:
+                yield counted()
+    yield counted()
 
 
 def log_odds(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
@@ -326,7 +352,7 @@ def learn(
     shared = docs.sparkSession.sparkContext.broadcast(lexicons)
     read = sample.mapInArrow(_features(shared, "toxic"), "toxic int, fold int, features array<double>")
     # One sorted file, of a bounded number of rows: the trees do not depend on how the texts were dealt.
-    rows_read = store.save(read.coalesce(1).sortWithinPartitions("fold", "toxic", "features"), "features")
+    rows_read = store.save(read.repartition(1).sortWithinPartitions("fold", "toxic", "features"), "features")
     rows_read = rows_read.withColumn("label", F.col("toxic").cast("double"))
     grower = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, minInstancesPerNode=5, seed=7)
 
