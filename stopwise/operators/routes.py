@@ -19,7 +19,7 @@ from stopwise.functions.geo import haversine_km, in_range, is_point
 from stopwise.functions.text import priority_block
 from stopwise.operators.greedy import SHORT, greedy_walk, walk_blocks, walk_side_by_side
 from stopwise.operators.numbering import number_within
-from stopwise.operators.storage import Scratch, broadcast_checked
+from stopwise.operators.storage import BROADCAST_BYTES, Scratch, broadcast_checked, row_bytes
 
 # The walk travels to the executors with the query, so they need not have this package installed.
 register_pickle_by_value(stopwise)
@@ -31,6 +31,9 @@ ROUTE_ROWS = 200_000
 _RINGS_PER_DOUBLING = 32
 _NO_DISTANCE = -100 * _RINGS_PER_DOUBLING
 
+# Bytes of eight numbers, more than a place or the state of a route has besides its keys.
+_NUMBERS = 64
+
 DEFAULT_TIES = ("departure_ts", "customer_id")
 
 
@@ -178,34 +181,47 @@ def _walk_sites(sites: DataFrame, keys: list[str], depot, limit: int) -> DataFra
     the step at which a place not loaded could be nearer (by the triangle inequality, when the next
     step is longer than the loaded radius less the distance from where the round began). If the
     first ring alone is too full, only the nearest place is loaded and the round takes that one step.
-    Every round visits at least one place of every route; what is left is written anew after it, so
-    the lineage stays short and a lost executor costs the tasks of one round.
+    Every round visits at least one place of every route and writes the places visited, nothing else
+    of their size. What is left is the places without the visits logged since they were last written;
+    they are written anew when half of them are visited, so all rounds together write each place a
+    few times at most. A lost executor costs the tasks of one round.
     """
     scratch = Scratch(sites.sparkSession, "long-routes")
-    remaining = scratch.save(sites, "remaining=0")
-    here = scratch.save(
-        remaining.select(*keys).distinct().withColumns(
-            {"at_lat": F.lit(depot[0]), "at_lon": F.lit(depot[1]), "walked": F.lit(0)}
-        ),
-        "here=0",
+    place = [*keys, "block", "lat", "lon"]
+    places = scratch.save(sites, "places=0")
+    found = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    left, routes, widest = found.agg(F.sum("n"), F.count(F.lit(1)), F.max(row_bytes(found))).first()
+    written = left
+    # The tables by route have a few numbers each besides the keys.
+    per_route = F.broadcast if routes * (widest + _NUMBERS) <= BROADCAST_BYTES else lambda table: table
+    here = places.select(*keys).distinct().withColumns(
+        {"at_lat": F.lit(depot[0]), "at_lon": F.lit(depot[1]), "walked": F.lit(0)}
     )
-    step, found = 0, None
-    while not remaining.isEmpty():
+    step, first_logged, visited = 0, 1, None
+    while left:
         step += 1
-        away = _with_rings(remaining.join(broadcast_checked(here), keys))
+        remaining = places
+        if step > first_logged:
+            log = scratch.read(f"visited={{{','.join(map(str, range(first_logged, step)))}}}", visited).select(*place)
+            small = (written - left) * (widest + _NUMBERS) <= BROADCAST_BYTES
+            remaining = places.join(F.broadcast(log) if small else log, place, "left_anti")
+            if 2 * left <= written:
+                places = remaining = scratch.save(remaining, f"places={step}")
+                written, first_logged = left, step
+        away = _with_rings(remaining.join(per_route(here), keys))
         loads = scratch.save(_choose_load(away, keys, limit), f"load={step}")
-        chosen = away.join(broadcast_checked(loads), [*keys, "block"])
+        chosen = away.join(per_route(loads), [*keys, "block"])
         loaded = chosen.where(F.col("ring") <= F.col("last_ring"))
-        crowded = loads.where(F.col("last_ring").isNull())
-        if not crowded.isEmpty():
+        if not loads.where(F.col("last_ring").isNull()).isEmpty():
             loaded = loaded.unionByName(_nearest_only(chosen, keys))
         visited = scratch.save(_walk_round(loaded, keys), f"visited={step}")
-        found = visited
-        here = scratch.save(_move_on(here, visited, keys), f"here={step}")
-        remaining = scratch.save(
-            remaining.join(visited, [*keys, "block", "lat", "lon"], "left_anti"), f"remaining={step}"
+        left -= visited.count()
+        # A route that is not at its end was on its way in this round.
+        ends = visited.groupBy(*keys).agg(F.max(F.struct("site_seq", "lat", "lon")).alias("end"))
+        here = ends.select(
+            *keys, F.col("end.lat").alias("at_lat"), F.col("end.lon").alias("at_lon"), F.col("end.site_seq").alias("walked")
         )
-    return scratch.read("visited=*", found)
+    return scratch.read("visited=*", visited)
 
 
 def _with_rings(places: DataFrame) -> DataFrame:
@@ -262,13 +278,3 @@ def _walk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         taken = table.take(pa.array(np.concatenate(rows)))
         taken = _replace(taken, "site_seq", np.concatenate(seq).astype(np.int32))
         yield from taken.drop_columns(["at_lat", "at_lon", "walked", "reach_km"]).to_batches()
-
-
-def _move_on(here: DataFrame, visited: DataFrame, keys: list[str]) -> DataFrame:
-    ends = visited.groupBy(*keys).agg(F.max(F.struct("site_seq", "lat", "lon")).alias("end"))
-    return here.join(ends, keys, "left").select(
-        *keys,
-        F.coalesce("end.lat", "at_lat").alias("at_lat"),
-        F.coalesce("end.lon", "at_lon").alias("at_lon"),
-        F.coalesce("end.site_seq", "walked").alias("walked"),
-    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
@@ -50,11 +50,15 @@ def row_bound(*tables: DataFrame) -> int:
     return sum(t.select(F.lit(1)).count() for t in tables)
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Bytes of the values of ``df``: texts as long as they are, every column eight bytes besides."""
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of the values of a row: texts as long as they are, every column eight bytes besides."""
     texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if f.dataType.typeName() == "string"]
-    row = sum(texts, F.lit(8 * len(df.columns))).cast("bigint")
-    return df.agg(F.sum(row)).first()[0] or 0
+    return sum(texts, F.lit(8 * len(df.columns))).cast("bigint")
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the values of ``df``."""
+    return df.agg(F.sum(row_bytes(df))).first()[0] or 0
 
 
 def broadcast_checked(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -100,9 +100,12 @@ def scenario(
     group += ["status"] if spec.with_priority else []
     ties = ["departure_ts", "op_code"] + group[3:]
     if not calendar.gapless:
-        # Dates between the days that no report day looks at are left out before anything is summed.
-        leaves = F.col("departure_ts").cast("date")
-        deliveries = deliveries.join(_dates_of(calendar, spec), leaves == F.col("_wanted"), "left_semi")
+        # Dates between the days that no report day looks at are left out before anything is summed. They
+        # are at most as many as a calendar has, so they are broadcast, and a table that is partitioned by
+        # the date reads their partitions only.
+        leaves = F.col("departure_date" if "departure_date" in deliveries.columns else "departure_ts").cast("date")
+        dates = F.broadcast(_dates_of(calendar, spec))
+        deliveries = deliveries.join(dates, leaves == F.col("_wanted"), "left_semi")
     if spec.with_driver:
         deliveries = deliveries.join(drivers.select("driver_id", "driver_name"), "driver_id")
         group += ["driver_name"]
@@ -150,7 +153,10 @@ def scenario(
 
 
 def _dates_of(calendar: Calendar, spec: Scenario) -> DataFrame:
-    """Departure dates that the report days look at."""
+    """Departure dates that the report days look at.
+
+    The filter, which all days pass, tells Spark that it is worth while to prune partitions by them.
+    """
     day = F.col("as_of")
     if spec.window_days is not None:
         dates = F.explode(F.sequence(day, F.date_add(day, spec.window_days), F.expr("interval 1 day")))
@@ -158,7 +164,8 @@ def _dates_of(calendar: Calendar, spec: Scenario) -> DataFrame:
         dates = reference_date(day, spec.normal_days)
     else:
         dates = F.explode(week_mon_tue(day))
-    return calendar.days.select(dates.alias("_wanted")).distinct()
+    days = calendar.days.where(day.between(F.lit(calendar.first), F.lit(calendar.last)))
+    return days.select(dates.alias("_wanted")).distinct()
 
 
 def _report_customers(customers: DataFrame, spec: Scenario) -> DataFrame:

@@ -1,45 +1,30 @@
-"""Writing reports."""
+"""Written reports."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Iterable
+from datetime import date
 
+from pyspark.sql import DataFrame, SparkSession
 
-def write_report(report: DataFrame, path: str, scenario: str, days: DataFrame | None = None) -> None:
-    """Write a report partitioned by scenario and day, replacing the days it holds and no others.
+from stopwise.sources.snapshots import DayTable
 
-    ``days`` (column ``as_of``) are the days the report was made for: those of them that were stored
-    before and have no rows now are emptied. The swap happens when the job commits; on a store
-    without atomic renames a run that fails while it commits can leave some days replaced, and
-    running it again mends them. The rebalance merges small and splits large days into files of even
-    size.
+
+def report_table(spark: SparkSession, path: str, scenario: str) -> DayTable:
+    """The written reports of one scenario."""
+    return DayTable(spark, f"{path}/{scenario}", "as_of")
+
+
+def write_report(report: DataFrame, path: str, scenario: str, days: DataFrame | Iterable[date] | None = None) -> None:
+    """Replace the days of a written report at once, all of them or, if the run fails, none.
+
+    ``days`` (column ``as_of``) are the days the report was made for; those without rows are empty
+    afterwards. Without them, the days that the report has rows of are replaced. Other days and other
+    scenarios stay as they are.
     """
-    rows = report.withColumn("scenario", F.lit(scenario))
-    before = {} if days is None else _stored_days(rows, path, scenario, days)
-    (
-        rows.hint("rebalance", "as_of")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("scenario", "as_of")
-        .parquet(path)
-    )
-    # A day whose files are still the ones from before was not written: it has no rows any more.
-    after = _stored_days(rows, path, scenario, days) if before else {}
-    nothing = rows.sparkSession.createDataFrame([], rows.drop("scenario", "as_of").schema)
-    for day in sorted(d for d, file in before.items() if after.get(d) == file):
-        nothing.write.mode("overwrite").parquet(f"{path}/scenario={scenario}/as_of={day}")
-
-
-def _stored_days(rows: DataFrame, path: str, scenario: str, days: DataFrame) -> dict:
-    """Of these days, those with stored rows and the name of one file of each: a row a day."""
-    try:
-        stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return {}
-    files = stored.where(F.col("scenario") == scenario).select("as_of", F.col("_metadata.file_name").alias("file"))
-    found = files.join(days.select("as_of").distinct(), "as_of", "left_semi").groupBy("as_of").agg(F.min("file"))
-    return dict(map(tuple, found.collect()))
+    report_table(report.sparkSession, path, scenario).replace(report, days)
+
+
+def read_report(spark: SparkSession, path: str, scenario: str, first: date | None = None, last: date | None = None) -> DataFrame:
+    """The written report of a scenario as it is now, or the part of it between two days."""
+    return report_table(spark, path, scenario).read(first=first, last=last)

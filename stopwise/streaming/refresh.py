@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stopwise.functions.dates import week_start
 from stopwise.operators.calendar import Calendar
+from stopwise.operators.storage import Scratch
 from stopwise.plans.scenarios import find_scenario, scenario
 from stopwise.sources.sinks import write_report
+from stopwise.sources.snapshots import DayTable
 
 EVERY = "5 minutes"
+# The deliveries known are kept on disk; a batch adds its changes to the checkpoint, not all of them.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 # No scenario looks further back or ahead of its report day than this many days.
 LOOKS_BACK, LOOKS_AHEAD = 5, 7
 
-# Partitions of the store: month, batch, and whether a delivery left the date instead of being on it.
-_STORED = ("departure_month", "batch", "gone")
-
-
 def touched_days(arrived: DataFrame, name: str) -> DataFrame:
     """Report days whose rows may change because of these deliveries.
 
@@ -41,69 +47,30 @@ def touched_days(arrived: DataFrame, name: str) -> DataFrame:
     return dates.select(F.explode(F.sequence(low, high, F.expr("interval 1 day"))).alias("as_of")).distinct()
 
 
-def _month_folders(store: str, days: list[date]) -> str:
-    """Glob of the stored months that any of these report days looks at."""
-    ends = {day + timedelta(days=n) for day in days for n in (-LOOKS_BACK, LOOKS_AHEAD)}
-    months = sorted({day.replace(day=1) for day in ends})
-    return f"{store}/departure_month={{{','.join(map(str, months))}}}"
-
-
-def _write_store(rows: DataFrame, store: str) -> None:
-    (
-        rows.withColumn("_date", F.col("departure_ts").cast("date"))
-        .hint("rebalance", "_date")
-        .drop("_date")
-        .sortWithinPartitions("departure_month", "departure_ts")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*_STORED)
-        .parquet(store)
-    )
-
-
-def _one_version(rows: DataFrame) -> DataFrame:
-    """One row a delivery: of several, the one with the greatest columns. Rows without id all stay."""
-    others = [c for c in ("departure_ts", *rows.columns) if c != "delivery_id"]
-    alone = F.when(F.col("delivery_id").isNull(), F.monotonically_increasing_id()).alias("_alone")
-    chosen = rows.groupBy("delivery_id", alone).agg(F.max(F.struct(*dict.fromkeys(others))).alias("_row"))
-    return chosen.select(*[F.col(c) if c == "delivery_id" else F.col(f"_row.{c}").alias(c) for c in rows.columns])
+def latest_versions(arrived: DataFrame, key: str, departs: str, version: str | None) -> DataFrame:
+    """The newest version of every delivery that arrives, with the dates on which any version of it left.
 
-
-def _moved_away(rows: DataFrame, batch_id: int) -> DataFrame:
-    """Marks for the dates that this batch's deliveries had in earlier batches and have no longer.
-
-    The history is searched by id, reading two columns of the files whose ids overlap the batch's.
+    Of a stream this is an aggregation whose state holds one row a delivery: a batch looks up and
+    changes the deliveries it brings, however many came before. Versions are compared by ``version``,
+    then departure, then all columns, so the same arrivals give the same result in whatever batches
+    they come. Without ``version`` the time of the batch stands for it. Rows without key are passed on
+    once, each a delivery of its own.
     """
-    mine = rows.where(F.col("batch") == batch_id).select("delivery_id", F.col("departure_ts").alias("_now"))
-    low, high = mine.agg(F.min("delivery_id"), F.max("delivery_id")).first()
-    earlier = rows.where((F.col("batch") < batch_id) & ~F.col("gone") & F.col("delivery_id").between(low, high))
-    earlier = earlier.select("delivery_id", "departure_ts").join(mine, "delivery_id")
-    left = earlier.where(~F.col("departure_ts").cast("date").eqNullSafe(F.col("_now").cast("date")))
-    marks = left.groupBy("delivery_id", F.col("departure_ts").cast("date").alias("_date")).agg(
-        F.min("departure_ts").alias("departure_ts")
+    columns = [F.col(f"`{c}`") for c in arrived.columns]
+    order = F.current_timestamp() if version is None else F.col(f"`{version}`")
+    rows = arrived.select(
+        F.col(f"`{key}`").alias("key"),
+        F.struct(*columns).alias("row"),
+        F.col(f"`{departs}`").alias("departs"),
+        order.alias("version"),
     )
-    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
-    own = {
-        "delivery_id": F.col("delivery_id"),
-        "departure_ts": F.col("departure_ts"),
-        "departure_month": F.trunc("departure_ts", "month"),
-        "batch": F.lit(batch_id).cast("long"),
-        "gone": F.lit(True),
-    }
-    return marks.select(*[own[f.name].alias(f.name) if f.name in own else c for f, c in zip(rows.schema, blank)])
-
-
-def newest(rows: DataFrame) -> DataFrame:
-    """Stored deliveries as the last batch that had them left them.
-
-    A batch leaves a row or a mark on every date that it changes for a delivery, so dates can be
-    looked at one by one, and a filter on the date can come first.
-    """
-    alone = F.when(F.col("delivery_id").isNull(), F.monotonically_increasing_id())
-    keyed = rows.withColumns({"_date": F.col("departure_ts").cast("date"), "_alone": alone})
-    window = Window.partitionBy("delivery_id", "_date", "_alone").orderBy(F.desc("batch"), "gone")
-    ranked = keyed.withColumn("_rank", F.row_number().over(window)).where("_rank = 1 and not gone")
-    return ranked.drop("_date", "_alone", "_rank", *_STORED)
+    leaves = F.col("departs").cast("date")
+    keyed = rows.where("key is not null").groupBy("key").agg(
+        F.max(F.struct("version", "departs", "row")).alias("newest"), F.collect_set(leaves).alias("dates")
+    )
+    keyed = keyed.select("key", "newest.row", "dates")
+    loose = rows.where("key is null").select("key", "row", F.array_compact(F.array(leaves)).alias("dates"))
+    return keyed.unionByName(loose)
 
 
 def refresh_stream(
@@ -114,52 +81,80 @@ def refresh_stream(
     report: str,
     checkpoint: str,
     *,
+    key: str = "delivery_id",
+    departs: str = "departure_ts",
+    version: str | None = None,
     within: Calendar | None = None,
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Keep a scenario report up to date with a stream of new and changed deliveries.
 
-    A delivery that arrives again replaces its earlier version; of several versions in one batch the
-    one with the latest departure counts. Each batch writes its deliveries to ``store``, partitioned
-    by departure month and batch, with marks on the dates that they left, finds the report days that
-    either touches and replaces those days in ``report``, also where no rows are left. Only the
-    months that the touched days look at are read, and within them the files are kept by date and
-    sorted, so that the date filter skips what it does not need, however long the history. A batch
-    that is run again rewrites the same partitions. ``within`` limits the report to certain days,
-    ``prepare`` completes the arrived rows. ``store`` and ``checkpoint`` belong together.
+    ``key`` and ``departs`` are the arriving rows' delivery and departure columns, ``prepare`` makes
+    deliveries of the rows. A delivery's newest version counts (see ``latest_versions``): with
+    ``version``, a column that grows with every change of a delivery, late and repeated arrivals
+    change nothing, and without it a later batch replaces what came before. Its state is kept by
+    Spark in RocksDB, in as many partitions as shuffles have when the stream first starts.
+
+    Each batch takes the newest versions of its deliveries, replaces the departure dates that any
+    version of them was on in ``store``, and then the report days that look at these dates in
+    ``report``, also those without rows left. Store and report are ``DayTable`` s, so a batch reads and
+    writes the dates and days it touches, whatever the history, and a report is replaced as a whole.
+    A batch that is run again after a failure gives the same rows. ``within`` limits the report to
+    certain days. ``store`` and ``checkpoint`` belong together, and neither is shared by streams.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prepared = prepare(batch)
-        arrived = _one_version(prepared).withColumns(
-            {
-                "departure_month": F.trunc("departure_ts", "month"),
-                "batch": F.lit(batch_id).cast("long"),
-                "gone": F.lit(False),
-            }
+        scratch = Scratch(spark, "refresh")
+        changes = scratch.save(batch, "changes")
+        # Dates of a calendar: at most one row for each.
+        dates = sorted(r.date for r in changes.select(F.explode("dates").alias("date")).distinct().collect())
+        if not dates:
+            return
+        rows = prepare(changes.select("row.*"))
+        rows = rows.drop(version) if version and version in rows.columns else rows
+        leaves = F.col("departure_ts").cast("date")
+        arrived = scratch.save(rows.withColumns({"departure_date": leaves, "batch": F.lit(batch_id).cast("long")}), "rows")
+
+        stored = DayTable(spark, store, "departure_date")
+        before = stored.read(arrived.schema, only=dates)
+        # What the batch's deliveries were before it goes, and so do rows that this batch, run before, left.
+        kept = before.where(F.col("delivery_id").isNotNull() | (F.col("batch") != batch_id)).join(
+            changes.select(F.col("key").alias("delivery_id")), "delivery_id", "left_anti"
         )
-        _write_store(arrived, store)
-        if batch_id:
-            _write_store(_moved_away(spark.read.schema(arrived.schema).parquet(store), batch_id), store)
-        rows = spark.read.schema(arrived.schema).parquet(store)
-        days = touched_days(rows.where(F.col("batch") == batch_id), name)
+        stored.replace(kept.select(arrived.columns).unionByName(arrived), dates)
+
+        days = touched_days(_as_frame(spark, dates), name)
         if within is not None:
             days = days.join(within.days, "as_of", "left_semi")
-        # At most one row per day of the calendar.
-        touched = [row.as_of for row in days.collect()]
+        touched = [row.as_of for row in days.collect()]  # again of a calendar
         if touched:
             calendar = Calendar.of(spark, *touched)
-            first, last = calendar.first - timedelta(LOOKS_BACK), calendar.last + timedelta(LOOKS_AHEAD)
-            stored = spark.read.schema(arrived.schema).option("basePath", store).parquet(_month_folders(store, touched))
-            near = stored.where(F.col("departure_ts").cast("date").between(F.lit(first), F.lit(last)))
-            fresh = scenario(name, newest(near), calendar=calendar, **dimensions)
-            write_report(fresh, report, name, calendar.days)
-
-    return (
-        deliveries.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": EVERY}))
-        .start()
-    )
+            near = stored.read(
+                arrived.schema, calendar.first - timedelta(LOOKS_BACK), calendar.last + timedelta(LOOKS_AHEAD)
+            )
+            fresh = scenario(name, near.drop("batch"), calendar=calendar, **dimensions)
+            write_report(fresh, report, name, touched)
+
+    newest = latest_versions(deliveries, key, departs, version)
+    writer = newest.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint)
+    with _settings(deliveries.sparkSession, STATE):
+        return writer.trigger(**(trigger or {"processingTime": EVERY})).start()
+
+
+def _as_frame(spark: SparkSession, dates: list[date]) -> DataFrame:
+    return spark.createDataFrame([(d,) for d in dates], "departure_ts date")
+
+
+@contextmanager
+def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings for a stream that is started meanwhile."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

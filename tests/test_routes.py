@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stopwise.constants import CITY_DEPOT
+from stopwise.operators import routes
 from stopwise.operators.paths import route_legs, route_lengths, route_path
 from stopwise.operators.routes import route_stops
 
@@ -137,3 +138,36 @@ def test_missing_place_changes_totals_but_not_the_route(spark):
     )
     assert plain == more
     assert spark.createDataFrame(extra, COLUMNS).agg(F.count("*")).first()[0] == len(rows) + 1
+
+
+def test_routes_come_in_name_order_when_asked_to(spark):
+    rows = random_rows(6, {"Zoe": 4, "ana": 3, "Bob": 9, "Éva": 2})
+    frame = spark.createDataFrame(rows, COLUMNS).repartition(7)
+    for bound in (100, None):
+        stops = route_stops(frame, ["route"], CITY_DEPOT, ["customer_id"], rows_per_route=bound, ordered=True).collect()
+        assert [(r.route, r.visit_seq) for r in stops] == [
+            (name, i) for name, size in (("Bob", 9), ("Zoe", 4), ("ana", 3), ("Éva", 2)) for i in range(1, size + 1)
+        ]
+
+
+def test_rounds_write_what_they_visit(spark, tmp_path, monkeypatch):
+    """Over all rounds, places are written a few times each, not once a round."""
+    written = []
+
+    def save(scratch, df, name):
+        path = f"{scratch.root}/{name}"
+        df.write.parquet(path)
+        back = scratch.spark.read.schema(df.schema).parquet(path)
+        written.append((name, back.count()))
+        return back
+
+    monkeypatch.setattr(routes.Scratch, "save", save)
+    rows = random_rows(7, {"long": 400}, duplicates=0)
+    rows = [(*r[:4], 3) for r in rows]
+    stops = route_stops(spark.createDataFrame(rows, COLUMNS), ["route"], CITY_DEPOT, ["customer_id"], limit=60)
+    assert visits_of(stops) == brute_force(rows, CITY_DEPOT)
+    rounds = [n for name, n in written if name.startswith("visited=")]
+    places = [n for name, n in written if name.startswith("places=")]
+    assert sum(rounds) == 400 and len(rounds) > 10
+    assert places[0] == 400 and sum(places[1:]) <= 400 and all(2 * b <= a for a, b in zip(places, places[1:]))
+    assert all(n <= 1 for name, n in written if name.startswith("load="))

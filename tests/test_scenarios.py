@@ -6,14 +6,16 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from stopwise.constants import CITY_DEPOT, MISSING_TEXT, UNKNOWN_DRIVER
 from stopwise.operators.calendar import Calendar
+from stopwise.operators.routes import ensure_column, route_stops
 from stopwise.plans import master as masters
 from stopwise.plans import reports
 from stopwise.plans.scenarios import SCENARIOS, scenario
 from stopwise.schemas import AREAS, CUSTOMERS, DELIVERIES, DRIVERS, SOURCE_COLUMNS
 from stopwise.sources.tables import from_source_names
 from workload import tables as t
-from workload.queries import report
+from workload.queries import QUERIES, report
 
 SF = "/root/testdata/sf0.001"
 
@@ -271,3 +273,49 @@ def test_calendar_of_a_frame(spark):
     assert (calendar.first.day, calendar.last.day, calendar.gapless, calendar.days.count()) == (1, 3, False, 2)
     assert Calendar.from_frame(days.where("as_of is null")) is None
     assert Calendar.of(spark, date(2024, 6, 2), date(2024, 6, 1)).gapless
+
+
+@pytest.mark.parametrize("name", ["six_day_by_date", "next_day_by_driver", "interior_mon_tue"])
+def test_scattered_days_prune_the_partitions_of_a_store(spark, tmp_path, name):
+    """Only the dates that some report day looks at are read of a table partitioned by the date."""
+    dated = t.deliveries(spark, SF).withColumn("departure_date", F.col("departure_ts").cast("date"))
+    near = dated.where("departure_ts between '1996-02-01' and '1996-05-31'")
+    path = str(tmp_path / "deliveries")
+    near.repartition("departure_date").write.partitionBy("departure_date").parquet(path)
+    tables = (t.customers(spark, SF), t.drivers(spark, SF), t.areas(spark, SF))
+    days = [date(1996, m, d) for m in (2, 3, 4) for d in (4, 7, 12, 15, 19, 22, 26)]
+    frame = spark.createDataFrame([(d,) for d in days], "as_of date")
+    for calendar in (Calendar.of(spark, *days), Calendar.from_frame(frame)):
+        found = scenario(name, spark.read.parquet(path), *tables, calendar=calendar)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SubqueryAdaptiveBroadcast dynamicpruning" in plan
+        whole = scenario(name, t.deliveries(spark, SF), *tables, calendar=calendar)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
+    assert found.count() > 0
+
+
+def test_no_day_is_not_every_day(spark, tmp_path):
+    """The report of scattered days over orders of which none is near a fifteenth."""
+    for name in ("customer", "orders", "lineitem", "supplier", "nation"):
+        rows = spark.read.parquet(f"{SF}/{name}.parquet")
+        if name == "orders":
+            rows = rows.where("o_orderdate between '1996-02-02' and '1996-02-12'")
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert QUERIES["same_day_by_driver"](spark, str(tmp_path)).count() > 0
+    assert QUERIES["scattered_days"](spark, str(tmp_path)).count() == 0
+
+
+def test_reports_do_without_a_driver_column(spark):
+    """Every row is then of the one unknown driver, and the texts of a stop say that it is missing."""
+    tables = frames(spark, [(i, i, 38, 1, 1, MON.replace(hour=5 + i), 1.0, 2.0) for i in range(1, 5)])
+    rows = scenario("same_day_by_driver", *tables, calendar=Calendar.of(spark, MON.date())).drop("driver_name")
+    assert [tuple(r) for r in reports.driver_totals(rows).collect()] == [(MON.date(), UNKNOWN_DRIVER, 8.0)]
+    (entry,) = reports.legend(rows, "same_day_by_driver").collect()
+    assert (entry.entry, entry.entry_revenue, entry.total_customers) == (UNKNOWN_DRIVER.upper(), 8.0, 4)
+    (color,) = reports.route_palette(rows).collect()
+    assert (color.driver_name, color.position) == (UNKNOWN_DRIVER, 0)
+    stops = ensure_column(rows, "driver_name", UNKNOWN_DRIVER)
+    walked = route_stops(stops, ["as_of", "driver_name"], CITY_DEPOT, rows_per_route=10)
+    assert sorted(r.visit_seq for r in walked.collect()) == [1, 2, 3, 4]
+    details = reports.stop_details(walked.drop("driver_name")).collect()
+    assert {r.driver_text for r in details} == {MISSING_TEXT}

@@ -461,8 +461,13 @@ SELECT CAST(position // 1000 AS INTEGER) AS part,
   '{{' || string_agg('"' || name || '":"' || color || '"', ',' ORDER BY position) || '}}' AS color_map,
   '[' || string_agg('{{"name":"' || name || '","color":"' || color || '"}}', ',' ORDER BY position) || ']' AS color_list
 FROM palette GROUP BY position // 1000""",
-    "roster_lookup": f"WITH {ROSTER} SELECT route, driver_name FROM roster_map",
-    "roster_from_file": f"WITH {ROSTER} SELECT route, driver_name FROM roster_map",
+    "roster_lookup": f"""WITH {CUSTOMERS},{AREAS},{ROSTER}
+SELECT c.customer_id, a.area_desc, coalesce(r.driver_name, 'SEM ROTA DEFINIDA') AS driver_name
+FROM customers AS c
+LEFT JOIN areas AS a ON a.area_id = c.area_id
+LEFT JOIN roster_map AS r ON r.route =
+  CASE WHEN contains(area_desc, ' - ') THEN trim(substr(area_desc, strpos(area_desc, ' - ') + 3)) END""",
+    "roster_from_file": report_sql("interior_eight_day_by_roster"),
     "scattered_days": f"{report_sql('six_day_by_date')} WHERE day(as_of) = 15",
     "scenario_without_roster": f"""WITH {report_ctes("interior_eight_day_by_roster")}
 SELECT * {_ROUND_REPORT[:-1]}, 'SEM ROTA DEFINIDA' AS driver_name) FROM report""",

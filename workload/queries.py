@@ -13,14 +13,14 @@ from stopwise.functions.geo import haversine_km
 from stopwise.functions.text import priority, to_number
 from stopwise.operators import facets, palettes, paths
 from stopwise.operators.calendar import Calendar
-from stopwise.operators.roster import enrich_networks, roster_lookup
+from stopwise.operators.roster import assign_roster, enrich_networks
 from stopwise.operators.routes import greedy_sequence, last_locations, placeable, route_stops
 from stopwise.operators.storage import Scratch, row_bound
 from stopwise.plans import master as masters
 from stopwise.plans import reports
 from stopwise.plans.scenarios import SCENARIOS, find_scenario, route_keys, scenario
 from stopwise.schemas import NETWORK_COLUMNS, ROSTER_COLUMNS
-from stopwise.sources.sinks import write_report
+from stopwise.sources.sinks import read_report, write_report
 from stopwise.sources.tables import load_tables, read_networks, read_roster
 from stopwise.streaming.refresh import refresh_stream
 from workload import tables as t
@@ -35,7 +35,9 @@ ONE_SUPERVISOR = {"supervisor": ["Customer#000000003"]}
 # Shared steps -----------------------------------------------------------------------------------
 
 
-def report(name: str, spark: SparkSession, sf: str, calendar: Calendar | None = None) -> DataFrame:
+def report(
+    name: str, spark: SparkSession, sf: str, calendar: Calendar | None = None, roster: DataFrame | None = None
+) -> DataFrame:
     return scenario(
         name,
         t.deliveries(spark, sf),
@@ -43,7 +45,7 @@ def report(name: str, spark: SparkSession, sf: str, calendar: Calendar | None =
         t.drivers(spark, sf),
         t.areas(spark, sf),
         calendar=calendar or t.whole_calendar(spark, sf),
-        roster=t.roster(spark, sf),
+        roster=t.roster(spark, sf) if roster is None else roster,
     )
 
 
@@ -106,9 +108,10 @@ def scenario_report(name: str, spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scattered_days(spark: SparkSession, sf: str) -> DataFrame:
-    """The six-day report for the fifteenth of every month only."""
+    """The six-day report for the fifteenth of every month only; no rows if no month has one."""
     days = Calendar.from_frame(t.whole_calendar(spark, sf).days.where(F.day("as_of") == 15))
-    return _report_shape(report("six_day_by_date", spark, sf, days))
+    rows = report("six_day_by_date", spark, sf, days)
+    return _report_shape(rows if days is not None else rows.where(F.lit(False)))
 
 
 def scenario_without_roster(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,16 +127,18 @@ def scenario_without_roster(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def roster_from_file(spark: SparkSession, sf: str) -> DataFrame:
-    """The roster's drivers with the roster read from a file whose columns stand in another order."""
+    """The roster scenario with the roster read from a file whose columns stand in another order."""
     path = f"{Scratch(spark, 'files').root}/roster"
     old_names = {new: old for old, new in ROSTER_COLUMNS.items()}
+    # A line for each route and week; in one file, as the last line of a route wins.
     lines = t.roster(spark, sf).orderBy("row_no").select(
         "week_code", "driver_name", "route", F.lit("").alias("route_code"), F.lit("").alias("area_id")
     )
     lines.coalesce(1).withColumnsRenamed(old_names).write.csv(
         path, sep=";", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
-    return roster_lookup(read_roster(spark, path))
+    name = "interior_eight_day_by_roster"
+    return _report_shape(report(name, spark, sf, roster=read_roster(spark, path)))
 
 
 def tables_from_parquet(spark: SparkSession, sf: str) -> DataFrame:
@@ -344,34 +349,53 @@ def palette_json(spark: SparkSession, sf: str) -> DataFrame:
     return palettes.palette_json(supervisor_palette(spark, sf))
 
 
-def roster_drivers(spark: SparkSession, sf: str) -> DataFrame:
-    return roster_lookup(t.roster(spark, sf))
+def roster_of_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """The roster's driver of every customer, by the route in the customer's area."""
+    placed = t.customers(spark, sf).join(t.areas(spark, sf), "area_id", "left")
+    return assign_roster(placed, t.roster(spark, sf)).select("customer_id", "area_desc", "driver_name")
 
 
 def written_report(spark: SparkSession, sf: str) -> DataFrame:
-    """A report written by scenario and day, read back."""
+    """A report written by day, read back."""
     path = f"{Scratch(spark, 'reports').root}/written"
     days = t.whole_calendar(spark, sf).days
     write_report(report("same_day_by_driver", spark, sf), path, "same_day_by_driver", days)
-    return _report_shape(spark.read.parquet(path))
+    written = read_report(spark, path, "same_day_by_driver")
+    return _report_shape(written.withColumn("scenario", F.lit("same_day_by_driver")))
 
 
 def stream_refresh(spark: SparkSession, sf: str) -> DataFrame:
-    """The same-day report built by the stream that watches the orders."""
+    """The same-day report built by the stream that watches the orders, which come in three parts.
+
+    The parts follow the order date. Every seventh order also comes as a draft, an older version that
+    left three days earlier: with, before or after the order itself.
+    """
     root = Scratch(spark, "stream").root
-    orders = spark.readStream.schema(t.SCHEMAS["orders"]).parquet(f"{sf}/orders.parquet*")
-    refresh_stream(
-        orders,
-        {"customers": t.customers(spark, sf), "drivers": t.drivers(spark, sf)},
-        "same_day_by_driver",
-        f"{root}/deliveries",
-        f"{root}/report",
-        f"{root}/checkpoint",
-        within=t.whole_calendar(spark, sf),
-        prepare=lambda batch: t.deliveries_of(batch, _lines_of(batch, t.table(spark, sf, "lineitem"))),
-        trigger={"availableNow": True},
-    ).awaitTermination()
-    return _report_shape(spark.read.parquet(f"{root}/report").drop("scenario"))
+    orders = t.table(spark, sf, "orders").withColumn("version", F.lit(2))
+    calendar = t.whole_calendar(spark, sf)
+    per_part = ((calendar.last - calendar.first).days + 3) // 3
+    part = F.floor(F.date_diff(F.col("o_orderdate").cast("date"), F.lit(calendar.first)) / per_part)
+    drafts = orders.where(F.col("o_orderkey") % 7 == 0).withColumns(
+        {"o_orderdate": F.col("o_orderdate") - F.expr("interval 3 days"), "version": F.lit(1)}
+    )
+    arrivals = orders.withColumn("part", part).unionByName(drafts.withColumn("part", F.col("o_orderkey") % 3))
+    for i in range(3):
+        arrivals.where(F.coalesce("part", F.lit(0)) == i).drop("part").write.mode("append").parquet(f"{root}/arrivals")
+        refresh_stream(
+            spark.readStream.schema(f"{t.SCHEMAS['orders']}, version int").parquet(f"{root}/arrivals"),
+            {"customers": t.customers(spark, sf), "drivers": t.drivers(spark, sf)},
+            "same_day_by_driver",
+            f"{root}/deliveries",
+            f"{root}/report",
+            f"{root}/checkpoint",
+            key="o_orderkey",
+            departs="o_orderdate",
+            version="version",
+            within=calendar,
+            prepare=lambda batch: t.deliveries_of(batch, _lines_of(batch, t.table(spark, sf, "lineitem"))),
+            trigger={"availableNow": True},
+        ).awaitTermination()
+    return _report_shape(read_report(spark, f"{root}/report", "same_day_by_driver"))
 
 
 def _lines_of(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
@@ -427,7 +451,7 @@ QUERIES = {
     "colored_markers": colored_markers,
     "customer_markers": customer_markers,
     "palette_json": palette_json,
-    "roster_lookup": roster_drivers,
+    "roster_lookup": roster_of_customers,
     "roster_from_file": roster_from_file,
     "written_report": written_report,
     "stream_refresh": stream_refresh,
