@@ -28,7 +28,7 @@ FOLDS = 4
 # Words between a lexicon word and a second person that still count as near.
 NEAR = 5
 # Words that a task remembers, and counts that it gathers.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 BUCKETS = 4_096
 
 # Second persons of English, German, French and Spanish, and signs that stand for letters: fixed values.
@@ -204,7 +204,6 @@ class Reader:
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many texts of each fold and label the words and beginnings are, in parts to be summed."""
-    terms_of: dict[str, list[str]] = {}
     found: dict[tuple, int] = {}
 
     def counted() -> pa.RecordBatch:
@@ -218,14 +217,10 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, fold, toxic in zip(*(batch.column(c).to_pylist() for c in ("text", "fold", "toxic"))):
             seen: set[str] = set()
             for token in set((text or "").split()):
-                terms = terms_of.get(token)
-                if terms is None:
-                    core = _core(token)
-                    terms = [t for w in {core, _plain(core)} if len(w) > 1 for t in _terms(w)]
-                    if len(terms_of) >= REMEMBERED:
-                        terms_of.clear()
-                    terms_of[token] = terms
-                seen.update(terms)
+                core = _core(token)
+                for word in {core, _plain(core)}:
+                    if len(word) > 1:
+                        seen.update(_terms(word))
             for term in seen:
                 found[term, fold, toxic] = found.get((term, fold, toxic), 0) + 1
             if len(found) >= REMEMBERED:
@@ -354,7 +349,7 @@ def learn(
     # One sorted file, of a bounded number of rows: the trees do not depend on how the texts were dealt.
     rows_read = store.save(read.repartition(1).sortWithinPartitions("fold", "toxic", "features"), "features")
     rows_read = rows_read.withColumn("label", F.col("toxic").cast("double"))
-    grower = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, minInstancesPerNode=5, seed=7)
+    grower = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, minInstancesPerNode=5, maxMemoryInMB=64, seed=7)
 
     def grow(part: DataFrame):
         return grower.fit(part.withColumn("features", array_to_vector("features")))
