@@ -32,20 +32,44 @@ covered AS (
     SELECT id, count(DISTINCT place + step) AS n_repeat_words
     FROM repeated CROSS JOIN (VALUES (0), (1), (2)) AS steps (step) GROUP BY id
 ),
-raw_line AS (SELECT id, source, text, unnest(full_lines) AS line FROM document),
+raw_line AS (SELECT id, source, text, unnest(full_lines) AS raw FROM document),
 line AS (
-    SELECT id, source, text, trim(regexp_replace(regexp_replace(
-        lower(line), '{_BLANK}', ' ', 'g'), '\d+', '0', 'g'), ' ') AS line
+    SELECT id, source, text, raw, trim(regexp_replace(regexp_replace(
+        lower(raw), '{_BLANK}', ' ', 'g'), '\d+', '0', 'g'), ' ') AS line
     FROM raw_line
 ),
-host AS (
-    SELECT source, count(*) AS documents FROM (SELECT DISTINCT source, text FROM given) AS texts GROUP BY source
+held AS (SELECT DISTINCT source, text, raw, line, len(string_split(line, ' ')) AS words FROM line),
+times AS (SELECT source, raw, count(*) AS times FROM held GROUP BY source, raw HAVING count(*) > 1),
+common AS (
+    SELECT held.*, md5(held.raw) AS md5, sum(words) OVER (PARTITION BY held.source, text) AS common,
+        sum(words) OVER (PARTITION BY held.source, text ORDER BY times, md5(held.raw)) AS upto
+    FROM held JOIN times ON held.raw = times.raw AND held.source IS NOT DISTINCT FROM times.source
+),
+middle AS (
+    SELECT source, text, common, arg_min(md5, upto) AS name FROM common WHERE 2 * upto >= common
+    GROUP BY source, text, common
+),
+total AS (SELECT source, text, sum(words) AS words FROM held GROUP BY source, text),
+-- Near copies: three quarters of the words are in lines that other texts of the host hold too.
+counted_as AS (
+    SELECT texts.source, texts.text,
+        CASE WHEN common >= {quality.COPY_SHARE} * total.words THEN 'copy of ' || name
+            WHEN texts.text IS NOT NULL THEN 'text ' || texts.text ELSE 'none' END AS counted
+    FROM (SELECT DISTINCT source, text FROM given) AS texts
+    LEFT JOIN middle ON middle.text = texts.text AND middle.source IS NOT DISTINCT FROM texts.source
+    LEFT JOIN total ON total.text = texts.text AND total.source IS NOT DISTINCT FROM texts.source
+),
+host AS (SELECT source, count(DISTINCT counted) AS documents FROM counted_as GROUP BY source),
+holding AS (
+    SELECT held.source, held.line, count(DISTINCT counted) AS documents
+    FROM held JOIN counted_as ON held.text = counted_as.text AND held.source IS NOT DISTINCT FROM counted_as.source
+    GROUP BY held.source, held.line
 ),
-holding AS (SELECT source, line, count(DISTINCT text) AS documents FROM line GROUP BY source, line),
 shared AS (
     SELECT holding.source, holding.line
     FROM holding JOIN host ON holding.source IS NOT DISTINCT FROM host.source
-    WHERE holding.documents > {quality.MIN_DOCUMENTS} AND holding.documents > {quality.MAX_SHARE} * host.documents
+    WHERE holding.documents > {quality.MIN_DOCUMENTS}
+        AND holding.documents > {quality.GROWTH} * sqrt(host.documents)
 ),
 removed AS (
     SELECT line.id, sum(len(string_split(line.line, ' '))) AS removed_words

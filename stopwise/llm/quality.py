@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from stopwise.llm.common import SPACE, let, packed, scratch, unpacked, words
 
-# A host's line is shared by too many if more than this many of its documents have it, and this share.
-MIN_DOCUMENTS = 20
-MAX_SHARE = 0.10
+# A host's line is shared by too many if more of its documents have it than this number and this multiple
+# of the square root of their number: 3 of up to 36 documents, 11 of 500, 707 of two million.
+MIN_DOCUMENTS = 3
+GROWTH = 0.5
 # A document is depleted if fewer words, or less of its words, than this are left.
 MIN_WORDS = 50
 MIN_LEFT = 0.5
@@ -90,21 +91,21 @@ def near_copies(texts: DataFrame, copy_share: float) -> DataFrame:
     """Distinct texts (``host content held``) with ``content`` replaced by one value per group of near copies.
 
     Lines are compared as they are. A text belongs to a group if lines that another text of the host
-    holds have ``copy_share`` of its words. Such lines are ordered by the texts that hold them, and the
-    line in the middle of their words names the group: boilerplate stands above it and edited lines
-    below, so a group has a few names at most, however many texts and edits it has.
+    holds have ``copy_share`` of its words. Such lines are ordered by the texts that hold them, then by
+    their MD5, and the line in the middle of their words names the group: boilerplate stands above it
+    and edited lines below, so a group has a few names at most, however many texts and edits it has.
     """
     lines = texts.select("host", "content", F.explode("held").alias("x")).select("host", "content", "x.raw", "x.words")
-    times = lines.groupBy("raw").agg(F.count("*").alias("times")).where("times > 1")
+    times = lines.groupBy("host", "raw").agg(F.count("*").alias("times")).where("times > 1")
     common = (
-        lines.join(times, "raw")
+        lines.join(times, ["host", "raw"])
         .groupBy("host", "content")
         .agg(
             F.sum("words").alias("common"),
             F.sort_array(F.collect_list(F.struct("times", "raw", "words"))).alias("found"),
         )
     )
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("raw"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("raw"))
     middle = F.aggregate(
         "found",
         start,
@@ -116,8 +117,10 @@ def near_copies(texts: DataFrame, copy_share: float) -> DataFrame:
     total = F.aggregate("held", F.lit(0).cast("long"), lambda n, x: n + x["words"])
     return texts.join(named, ["host", "content"], "left").select(
         "host",
-        F.when(F.col("common") >= copy_share * total, F.col("name")).otherwise(F.col("content")).alias("content"),
-        "held",
+        F.when(F.col("common") >= copy_share * total, F.col("name"))
+        .otherwise(F.col("content").cast("string"))
+        .alias("content"),
+        F.array_distinct("held.line").alias("held"),
     )
 
 
@@ -126,12 +129,12 @@ def judge(
     text: str = "text",
     host: str = "source",
     min_documents: int = MIN_DOCUMENTS,
-    max_share: float = MAX_SHARE,
+    growth: float = GROWTH,
     min_words: int = MIN_WORDS,
     min_left: float = MIN_LEFT,
     keep_text: bool = False,
     literal_lines: int = LITERAL_LINES,
-    copy_share: float | None = None,
+    copy_share: float = COPY_SHARE,
 ) -> DataFrame:
     """Every row of ``docs`` with its counts, the words its removed lines had, and the verdict.
 
@@ -142,11 +145,11 @@ def judge(
     ``removed_lines`` has the hashes of the lines to remove (see ``remove_lines``).
 
     Lines are normalised and hashed with their host. A line is removed in a host if more than
-    ``min_documents`` and more than ``max_share`` of the host's documents hold it. Documents with
-    equal texts count as one, so copies do not make each other's lines look like boilerplate; which
-    copy to keep is the business of deduplication. With ``copy_share``, near copies count as one too
-    (see ``near_copies``); without it texts that differ in a byte are counted each, as in the SQL. ``kept`` is false for texts that fail the base
-    rules, or of which fewer than ``min_words`` words or less than ``min_left`` of the words remain.
+    ``min_documents`` of the host's documents hold it, and more than ``growth`` times the square root of
+    their number. Near copies count as one document (see ``near_copies``), so groups of copies do not
+    make each other's lines look like boilerplate; which copy to keep is the business of
+    deduplication. ``kept`` is false for texts that fail the base rules, or of which fewer than
+    ``min_words`` words or less than ``min_left`` of the words remain.
 
     Null texts are empty texts and fail; null hosts are one host; repeated rows and ties get equal
     verdicts; an empty table gives no rows. Texts are read whole, once to count lines and once to
@@ -157,47 +160,42 @@ def judge(
     rows = packed(docs)
     body, place = F.col(f"given.`{text}`"), F.col(f"given.`{host}`")
     counts = text_counts(body)
-    all_lines = F.transform(
-        F.split(F.coalesce(body, F.lit("")), "\n"),
-        lambda line: let(
+    split = F.split(F.coalesce(body, F.lit("")), "\n")
+
+    def hashed(line: Column, *more: Column) -> Column:
+        return let(
             normalised(line),
             lambda x: F.struct(
                 F.xxhash64(place, x).alias("line"),
                 F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("words"),
+                *more,
             ),
-        ),
-    )
-    line_hashes = F.filter(all_lines, lambda x: x["words"] > 0)
+        )
+
+    line_hashes = F.filter(F.transform(split, lambda line: hashed(line)), lambda x: x["words"] > 0)
     kept_columns = [c for c in docs.columns if keep_text or c != text]
     store = scratch(docs, "quality")
 
     # Texts are told apart by hash and length. The per-host line hash holds the host, so a line is one number.
     content = F.xxhash64(body, F.length(body))
-    held = line_hashes["line"]
-    if copy_share is not None:
-        raw = F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), lambda line: F.xxhash64(place, line))
-        held = F.zip_with(all_lines, raw, lambda x, r: x.withField("raw", r))
-        held = F.filter(held, lambda x: x["words"] > 0)
+    exact = lambda line: F.substring(F.md5(line.cast("binary")), 1, 16).alias("raw")
+    held = F.filter(F.transform(split, lambda line: hashed(line, exact(line))), lambda x: x["words"] > 0)
     distinct = (
         rows.select(F.xxhash64(place).alias("host"), content.alias("content"), held.alias("held"))
         .groupBy("host", "content")
         .agg(F.array_distinct(F.first("held")).alias("held"))
     )
     distinct = store.save(distinct, "distinct")
-    if copy_share is not None:
-        distinct = store.save(near_copies(distinct, copy_share), "copies")
-    holding = distinct.select("host", "content", F.explode("held" if copy_share is None else F.array_distinct("held.line")).alias("line"))
-    if copy_share is not None:
-        holding = holding.distinct()
+    counted = store.save(near_copies(distinct, copy_share), "copies")
+    holding = counted.select("host", "content", F.explode("held").alias("line")).distinct()
     per_line = (
         holding.groupBy("line")
         .agg(F.count("*").alias("documents"), F.first("host").alias("host"))
         .where(F.col("documents") > min_documents)
     )
-    hosts = distinct.select("host", "content")
-    per_host = (hosts if copy_share is None else hosts.distinct()).groupBy("host").agg(F.count("*").alias("of"))
-    shared = per_line.join(per_host, "host").where(F.col("documents") > max_share * F.col("of")).select("line")
-    shared = store.save(shared, "shared")
+    per_host = counted.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("of"))
+    too_many = F.col("documents") > growth * F.sqrt("of")
+    shared = store.save(per_line.join(per_host, "host").where(too_many).select("line"), "shared")
 
     judged = rows.select(
         F.struct(*[F.col(f"given.`{c}`") for c in kept_columns], F.lit(1).alias("_unused")).alias("row"),

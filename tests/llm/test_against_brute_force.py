@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from copies import normal, shared_lines
 
 from stopwise.llm import decontaminate, licenses, mixing, ngrams, pages, quality, sharding, simhash, substrings, wordpieces
 
@@ -120,17 +121,10 @@ def test_repeated_strings(documents, texts, settings):
 
 @pytest.mark.parametrize("literal_lines", [10_000, 0])
 def test_quality_rules(documents, texts, literal_lines):
-    rules = {"min_documents": 2, "max_share": 0.1, "literal_lines": literal_lines}
+    rules = {"min_documents": 1, "growth": 0.2, "literal_lines": literal_lines}
     hosts = {r.doc_id: r.source for r in documents.collect()}
-
-    def normal(line):
-        return re.sub(r"\d+", "0", " ".join(TOKEN.findall(line.lower())))
-
-    seen, of = {}, {}
-    for d, t in texts.items():
-        of.setdefault(hosts[d], set()).add(t)
-        for line in t.split("\n"):
-            seen.setdefault((hosts[d], normal(line)), set()).add(t)
+    gone_of = shared_lines([(hosts[d], t) for d, t in texts.items()], least=1, growth=0.2)
+    assert any(gone_of.values())
     for r in quality.judge(documents, **rules).collect():
         text, host = texts[r.doc_id], hosts[r.doc_id]
         tokens = TOKEN.findall(text)
@@ -138,7 +132,7 @@ def test_quality_rules(documents, texts, literal_lines):
         times = Counter(triples)
         repeated = {i + k for i, t in enumerate(triples) if times[t] > 1 for k in range(3)}
         lines = [x for x in text.split("\n") if TOKEN.search(x)]
-        shared = [x for x in lines if len(seen[host, normal(x)]) > max(2, 0.1 * len(of[host]))]
+        shared = [x for x in lines if normal(x) in gone_of[host]]
         gone = sum(len(TOKEN.findall(x)) for x in shared)
         failed = len(tokens) < 50 or 100 * len(repeated) > 50 * len(tokens)
         left = len(tokens) - gone

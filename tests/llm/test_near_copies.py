@@ -41,6 +41,35 @@ def test_one_near_copy_reaches_the_shards(spark, folder):
     assert len([d for d in found if d < 1000]) == 1
 
 
-def test_texts_that_differ_are_counted_each_as_in_the_sql(spark, folder):
-    found = quality.judge(spark.read.parquet(f"{folder}/documents.parquet")).where("doc_id < 1000").collect()
-    assert all(r.removed_words > 0 for r in found)
+def test_near_copies_of_one_line_count_once(spark):
+    """30 texts that differ in one line all stay whole; so do groups that make up a whole host."""
+    common = [" ".join(f"{chr(97 + (k * 7 + j) % 26)}w{k}x{j}" for j in range(12)) for k in range(9)]
+    for size in (4, 30):
+        rows = [(i, "h", "\n".join([*common, f"edit {chr(97 + i % 26) * (i + 1)} of this text"])) for i in range(size)]
+        found = quality.judge(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+        assert [(r.kept, r.removed_words) for r in found] == [(True, 0)] * size
+
+
+@pytest.mark.parametrize("size", [15, 2_000])
+def test_boilerplate_goes_in_small_and_large_hosts(spark, size):
+    """A line of every text, one of a tenth and one of three texts; the last stays."""
+    rows = []
+    for i in range(size):
+        own = [" ".join(f"t{i}n{k}w{j}z" for j in range(30)) for k in range(3)]
+        own = [x.translate(str.maketrans("0123456789", "abcdefghij")) for x in own]
+        lines = ["All rights of this site are kept", *own]
+        lines += ["Sign up for our letter"] * (i % 2 == 0 if size < 100 else i % 10 == 0)
+        lines += ["three texts hold this line"] * (i < 3)
+        rows.append((i, "h", "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for r in quality.judge(docs, keep_text=True).collect():
+        assert r.kept and "All rights" not in r.text and "Sign up" not in r.text
+        assert ("three texts hold this line" in r.text) == (r.doc_id < 3)
+
+
+def test_lines_are_removed_of_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = quality.judge(docs).collect()
+    assert sum(r.removed_words for r in found) > 1_000
+    # Few documents fall that the base rules leave.
+    assert sum(not r.kept and not r.base_failed for r in found) < 0.02 * len(found)
