@@ -40,7 +40,8 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = substrings.repeated_substrings(docs, length=400)
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", "n_bytes", "n_removed", n_spans, "kept_sha256", (F.col("n_removed") > 0).alias("repeated"))
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

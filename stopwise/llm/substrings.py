@@ -18,6 +18,8 @@ GRAM = 128
 GROUP = 100_000
 # Surroundings that are sorted at a time.
 SHARD = 4_000
+# Bytes of surroundings that are sorted together; beyond them the sums of the prefix hashes could overflow.
+SORTED_BYTES = 1 << 24
 # Text bytes that are marked at once.
 CHUNK = 1 << 19
 # Bits of the filter that keeps unaffected texts out of the shuffle, in words of 64.
@@ -268,6 +270,8 @@ _CONTEXT = pa.schema(
     ]
 )
 _OFFSETS = pa.schema([("key", pa.binary()), ("least", pa.int32()), ("greatest", pa.int32())])
+
+
 def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -339,14 +343,14 @@ def _contexts(length: int, reach: int):
     return run
 
 
-def _repeats(length: int, reach: int, shard: int):
+def _repeats(length: int, reach: int, shard: int, sorted_bytes: int):
     """Offsets of repeated windows of different contexts; rows come sorted by gram."""
 
     def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts)
         grams, left = rows["gram"].to_numpy(), rows["before"].to_numpy().astype(np.int64)
         contexts = rows["context"].to_pylist()
-        if len(grams) > 2 * shard and grams[0] == grams[-1]:
+        if sum(map(len, contexts)) >= sorted_bytes:
             least, greatest = offsets_by_window(contexts, left, length, reach)
         else:
             least, greatest = repeated_offsets(contexts, left, grams, length, reach)
@@ -456,6 +460,7 @@ def repeated_substrings(
     gram: int = GRAM,
     group: int = GROUP,
     shard: int = SHARD,
+    sorted_bytes: int = SORTED_BYTES,
     words: int = FILTER_WORDS,
 ) -> DataFrame:
     """Every row of ``docs``, without its text, with the spans of bytes that repeated strings cover.
@@ -471,13 +476,17 @@ def repeated_substrings(
     Every window of ``length`` bytes marks its gram of least hash, so equal windows meet at an equal
     gram. Only places whose gram occurs elsewhere keep the bytes around them. Equal surroundings are
     one, so copies cost little; different ones of the same gram are compared by suffix sorting
-    (``Suffixes``), in shards of about ``shard``. A gram with more than ``group`` different surroundings
-    is compared window by window in an aggregation instead, which combines before it shuffles, and
-    one with more than two shards window by window in its task. Texts are told apart by 96-bit hash,
-    surroundings by 128-bit hash.
+    (``Suffixes``), in shards of about ``shard``, or one gram's alone up to ``sorted_bytes``. A gram
+    with more than ``group`` different surroundings is compared window by window in an aggregation
+    instead, which combines before it shuffles, and one with more bytes than are sorted together window
+    by window in its task. A gram that very many texts hold is no hot key: the repeated grams are
+    written before they are joined, so that Spark can split the marks of one of them over tasks. Texts
+    are told apart by 96-bit hash, surroundings by 128-bit hash.
     """
     if not 0 < gram < length:
         raise ValueError("grams are shorter than the strings")
+    if shard * (2 * length - gram) > sorted_bytes:
+        shard = max(1, sorted_bytes // (2 * length - gram))
     reach = length - gram + 1
     rows = packed(docs)
     store = scratch(docs, "substrings")
@@ -489,7 +498,7 @@ def repeated_substrings(
     # A gram counts as repeated if it is at two places of the distinct texts.
     place = F.xxhash64("a", "b", "at")
     repeated = marked.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = repeated.where(F.col("first") != F.col("last")).select("gram")
+    repeated = store.save(repeated.where(F.col("first") != F.col("last")).select("gram"), "repeated")
     places = store.save(marked.join(repeated, "gram").select("a", "b", "at", "gram"), "places")
     of_text = places.groupBy("a", "b").agg(F.collect_set(F.struct("at", "gram")).alias("marks"))
     once = _affected(texts, places, words).groupBy("a", "b").agg(F.first("text").alias("text"))
@@ -514,7 +523,7 @@ def repeated_substrings(
         .join(many, "gram", "left_anti")
         .repartition("gram")
         .sortWithinPartitions("gram")
-        .mapInArrow(_repeats(length, reach, shard), offsets)
+        .mapInArrow(_repeats(length, reach, shard, sorted_bytes), offsets)
     )
     windows = (
         distinct.select("key", "gram", "before", "context")

@@ -102,7 +102,7 @@ def test_longest_common_subsequence():
         assert len(found) == table[-1][-1] and all(x in rest for x in found)
 
 
-@pytest.mark.parametrize("settings", [{}, {"group": 1}, {"shard": 2}, {"length": 40, "gram": 12, "group": 3}])
+@pytest.mark.parametrize("settings", [{}, {"group": 1}, {"shard": 2}, {"sorted_bytes": 1_500}, {"length": 40, "gram": 12, "group": 3}])
 def test_repeated_strings(documents, texts, settings):
     size = settings.get("length", 400)
     raw = {d: t.encode() for d, t in texts.items()}
