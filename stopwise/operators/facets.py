@@ -29,7 +29,8 @@ ALL = "*all*"  # selects every value of a facet, as its "select all" box does
 Selection = Mapping[str, "Sequence[str] | DataFrame | str"]
 
 
-def _present(df: DataFrame) -> dict[str, str]:
+def present_facets(df: DataFrame) -> dict[str, str]:
+    """The facets of a master and their columns."""
     return {facet: column for facet, column in FACETS.items() if column in df.columns}
 
 
@@ -37,7 +38,7 @@ def _facet_rows(master: DataFrame) -> DataFrame:
     """One row per facet value of every customer, without the values that are no choice."""
     pairs = [
         F.struct(F.lit(facet).alias("facet"), F.col(column).cast("string").alias("value"))
-        for facet, column in _present(master).items()
+        for facet, column in present_facets(master).items()
     ]
     rows = master.select(F.explode(F.array(*pairs)).alias("pair")).select("pair.*")
     blank = F.col("facet").isin(*_MAY_BE_BLANK) & F.col("value").isin("", "nan")

@@ -17,7 +17,7 @@ from stopwise.constants import (
     PRIORITY_LABELS,
     ROUTE_COLORS,
 )
-from workload.queries import ONE_SUPERVISOR, SELECTION
+from workload.queries import ONE_SUPERVISOR, SEARCHES, SELECTION
 from workload.tables import EXCLUDED, OP_CODES
 
 
@@ -435,11 +435,26 @@ FROM walk AS w JOIN stops AS s
     "master_summary": f"WITH {MASTER} SELECT count(*) AS markers FROM master",
     "centroid": f"WITH {MASTER} SELECT round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM master",
     "facet_values": f"WITH {FACETS} SELECT * FROM facet_values",
+    "facet_values_in_runs": f"WITH {FACETS} SELECT * FROM facet_values",
     "facet_search": f"""WITH {FACETS}
 SELECT * FROM facet_values WHERE facet = 'area' AND contains(lower(value), 'l82-nation_1')""",
     "facet_filter": f"WITH {SHOWN} SELECT * {_ROUND_PLACE} FROM shown",
     "facet_filter_summary": f"""WITH {SHOWN}
 SELECT count(*) AS customers, count(DISTINCT nullif(vendor_name, '')) AS vendors FROM shown""",
+    "facet_summaries": f"""WITH {MASTER},
+pairs AS (SELECT DISTINCT supervisor FROM master),
+regions AS (SELECT unnest(['L81-CAPITAL', 'L82-INTERIOR']) AS region)
+SELECT pairs.supervisor || ' / ' || regions.region AS selection, count(m.customer_id) AS customers,
+  count(DISTINCT nullif(m.vendor_name, '')) AS vendors
+FROM pairs CROSS JOIN regions LEFT JOIN master AS m
+  ON m.supervisor = pairs.supervisor AND m.region = regions.region AND coalesce(m.network, '') IN ('', 'NET_3')
+GROUP BY ALL
+UNION ALL
+SELECT 'everything', count(*), count(DISTINCT nullif(vendor_name, '')) FROM master""",
+    "facet_search_indexed": f"""WITH {FACETS},
+searches AS (SELECT * FROM (VALUES {", ".join(str(s) for s in SEARCHES)}) AS s (facet, term))
+SELECT v.facet, v.value, v.position, s.term FROM facet_values AS v JOIN searches AS s
+ON s.facet = v.facet AND contains(lower(v.value), s.term)""",
     "facet_select_all": select_all_sql("vendor", "vendor_name"),
     "facet_select_all_networks": select_all_sql("network", "network"),
     "visible_vendors": f"WITH {SHOWN} SELECT DISTINCT vendor_name FROM shown WHERE coalesce(vendor_name, '') <> ''",

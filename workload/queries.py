@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +11,10 @@ from stopwise.constants import CITY_DEPOT
 from stopwise.functions.colors import hash_color
 from stopwise.functions.geo import haversine_km
 from stopwise.functions.text import priority, to_number
-from stopwise.operators import facets, palettes, paths
+from stopwise.operators import facet_index, facets, palettes, paths
 from stopwise.operators.calendar import Calendar
 from stopwise.operators.roster import assign_roster, enrich_networks
+from stopwise.operators.sorted_runs import SortedRuns
 from stopwise.operators.routes import greedy_sequence, last_locations, placeable, route_stops
 from stopwise.operators.storage import Scratch, row_bound
 from stopwise.plans import master as masters
@@ -29,6 +30,7 @@ SELECTION = {
     "region": ["L81-CAPITAL", "L82-INTERIOR"],
     "supervisor": ["Customer#000000003", "Customer#000000004", "N/A"],
 }
+SEARCHES = (("area", "l82-nation_1"), ("customer", "er#00000001"), ("vendor", "00099"), ("network", "t_"), ("id", "123"))
 ONE_SUPERVISOR = {"supervisor": ["Customer#000000003"]}
 
 
@@ -298,6 +300,15 @@ def facet_values(spark: SparkSession, sf: str) -> DataFrame:
     return facets.facet_values(master(spark, sf), value_bound(spark, sf))
 
 
+def facet_values_in_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The same positions from sorted runs to which the values are added in three parts."""
+    runs = SortedRuns(spark, f"{Scratch(spark, 'runs').root}/values", run_rows=1_000)
+    values = Scratch(spark, "facets").save(facet_values(spark, sf).select("facet", "value"), "values")
+    for part in range(3):
+        runs.add(values.where(F.pmod(F.xxhash64("value"), F.lit(3)) == part))
+    return runs.values()
+
+
 def facet_search(spark: SparkSession, sf: str) -> DataFrame:
     return facets.facet_search(facet_values(spark, sf), "area", "l82-nation_1")
 
@@ -310,6 +321,33 @@ def facet_filter_summary(spark: SparkSession, sf: str) -> DataFrame:
     return facets.facet_filter_summary(facets.facet_filter(master(spark, sf), SELECTION))
 
 
+def facet_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of many selections from the index: each supervisor with the capital or the interior, and everything."""
+    rows = master(spark, sf)
+    region = F.explode(F.array(F.lit("L81-CAPITAL"), F.lit("L82-INTERIOR"))).alias("region")
+    pairs = rows.select("supervisor").distinct().select("supervisor", region)
+    selection = F.concat_ws(" / ", "supervisor", "region")
+    values = F.array(
+        F.struct(F.lit("supervisor").alias("facet"), F.col("supervisor").alias("value")),
+        F.struct(F.lit("region").alias("facet"), F.col("region").alias("value")),
+        # Two areas, either of which will do, and a network or none.
+        F.struct(F.lit("network").alias("facet"), F.lit("").alias("value")),
+        F.struct(F.lit("network").alias("facet"), F.lit("NET_3").alias("value")),
+    )
+    chosen = pairs.select(selection.alias("selection"), F.explode(values).alias("pair")).select("selection", "pair.*")
+    everything = spark.createDataFrame([("everything", None, None)], "selection string, facet string, value string")
+    return facet_index.facet_summaries(facet_index.build_facet_index(rows), chosen.unionByName(everything))
+
+
+def facet_search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Searches in facet values through the index of their pieces."""
+    index = facet_index.build_value_index(facet_values(spark, sf))
+    found = [
+        facet_index.indexed_search(index, facet, term).withColumn("term", F.lit(term)) for facet, term in SEARCHES
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def facet_select_all(facet: str, spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(facets.facet_select_all(master(spark, sf), facet), 6, "lat", "lon")
 
@@ -438,9 +476,12 @@ QUERIES = {
     "master_summary": master_summary,
     "centroid": centroid,
     "facet_values": facet_values,
+    "facet_values_in_runs": facet_values_in_runs,
     "facet_search": facet_search,
     "facet_filter": facet_filter,
     "facet_filter_summary": facet_filter_summary,
+    "facet_summaries": facet_summaries,
+    "facet_search_indexed": facet_search_indexed,
     "facet_select_all": partial(facet_select_all, "vendor"),
     "facet_select_all_networks": partial(facet_select_all, "network"),
     "visible_vendors": visible_vendors,
