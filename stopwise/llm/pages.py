@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stopwise.llm.common import packed, scratch, unpacked
 from stopwise.operators.numbering import number_within
+from stopwise.operators.storage import BROADCAST_BYTES
 
 # Names of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,12 +40,11 @@ _FURNITURE = frozenset(
     " subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share"
     " sharing social widget widgets toolbar pagination pager login search skip copyright alert paywall".split()
 )
-# Of these, those that no layout uses around its text.
-_NOTICES = frozenset("cookie cookies consent gdpr newsletter paywall popup".split())
 # Lines of so many words are sentences; menus and labels have fewer.
 _SENTENCE = 10
-# A form or a block named like furniture is kept if it has this share of the page's sentences.
-_BODY_SHARE = 0.5
+# Names are looked at in this order, each on what the ones before have left: blocks of a name are kept if
+# they have this share of the sentences. Comments are kept only if there is hardly anything else.
+_KEPT_SHARES = (("0", 0.9), ("1", 0.5), ("2", 0.5))
 # Articles, or main, are the text if they have this share of the sentences of what is around them.
 _REGION_SHARE = 0.25
 _TAG = re.compile(
@@ -58,7 +58,11 @@ _NAME_PART = re.compile(r"(?<![a-z])(?:no|has|with|without|is)[-_][a-z]+|[a-z]+"
 
 
 def _kind(tag: str, attributes: str) -> str:
-    """What an element's tag and attributes make it: ``noise``, ``header``, ``?`` and a name if in doubt, or nothing."""
+    """What an element's tag and attributes make it: ``noise``, ``header``, ``?`` and a name if in doubt, or nothing.
+
+    Only a tag that says so, or being hidden, makes noise for certain. Names and roles are used for other
+    things too, so they give a doubt: 0 comments, 1 adverts, 2 furniture, each with its name.
+    """
     if tag in _NOISE_TAGS:
         return "noise"
     found = {}
@@ -66,31 +70,33 @@ def _kind(tag: str, attributes: str) -> str:
         for name, *values in _ATTRIBUTE.findall(attributes):
             found.setdefault(name.lower(), next(filter(None, values), "").lower())
     if not found:
-        return "?form" if tag == "form" else "header" if tag == "header" else ""
+        return "?2 form" if tag == "form" else "header" if tag == "header" else ""
     style = found.get("style", "").replace(" ", "")
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style:
         return "noise"
     if tag in ("html", "body"):
         return ""
-    if found.get("role") in _NOISE_ROLES:
-        return "noise"
     parts = set(_NAME_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{found.get('class', '')} {found.get('id', '')}")))
-    if parts & (_COMMENTS | _ADVERTS):
-        return "noise"
+    if parts & _COMMENTS:
+        return "?0 " + " ".join(sorted(parts & _COMMENTS))
+    if parts & _ADVERTS:
+        return "?1 " + " ".join(sorted(parts & _ADVERTS))
     named = parts & _FURNITURE if tag not in ("article", "main") else set()
-    if named & _NOTICES or named and (tag == "header" or "header" in parts):
-        return "noise"
+    if found.get("role") in _NOISE_ROLES:
+        named |= {"role " + found["role"]}
     if named or tag == "form":
-        return "?" + " ".join(sorted(named) or ["form"])
+        return "?2 " + " ".join(sorted(named) or ["form"])
     return "header" if tag == "header" or "header" in parts and tag not in ("article", "main") else ""
 
 
 def page_lines(page: str | None) -> list[tuple[str, bool]]:
     """The page's text blocks in order, each with whether differencing may delete it.
 
-    Noise (scripts, menus, headers, footers, adverts, comments, hidden elements) is left out. Forms and
-    blocks named like furniture (widget, share, notice) are noise too, unless those of one name hold
-    half of the page's sentences; named blocks that stay are open to deletion. If articles hold a
+    Noise (scripts, menus, headers, footers, asides, hidden elements) is left out. Forms and blocks with
+    a name or role of comments, adverts or furniture (widget, share, notice) are left out too, unless
+    those of one name hold half of the page's sentences, or of comments nine tenths; comments are
+    taken off first, then adverts, and both for certain if they stand beside an article or main with
+    text. Named blocks that stay are open to deletion. If articles hold a
     quarter of the sentences of main, or of the page without main, only their text counts; else main's
     if it holds a quarter of the page's, else all. What else stands in a paragraph, heading, list or
     table of an article or main is open to no deletion.
@@ -171,13 +177,19 @@ def page_lines(page: str | None) -> list[tuple[str, bool]]:
             at = end.start() if end else size
     flush()
     weights = [len(t) if t.count(" ") >= _SENTENCE - 1 else 0 for t, *_ in lines]
-    whole = sum(weights)
-    held = {name: 0 for *_, d in lines for name in d}
-    for (*_, names), weight in zip(lines, weights):
-        for name in names:
-            held[name] += weight
-    little = {name for name, weight in held.items() if not weight or weight < _BODY_SHARE * whole}
-    left = [(line, weight) for line, weight in zip(lines, weights) if not line[3] & little]
+    left = list(zip(lines, weights))
+    for rank, share in _KEPT_SHARES:
+        whole = sum(w for _, w in left)
+        held = {name: 0 for line, _ in left for name in line[3] if name[0] == rank}
+        for line, weight in left:
+            for name in line[3] & held.keys():
+                held[name] += weight
+        little = {name for name, weight in held.items() if not weight or weight < share * whole}
+        left_of = [x for x in left if not x[0][3] & little]
+        if rank < "2" and any(line[1] for line, _ in left if not line[3] & held.keys()):
+            # An article or main has text: comments and adverts beside it are what they are called.
+            left_of = [x for x in left_of if x[0][1] or not x[0][3] & held.keys()]
+        left = left_of
     # Articles beside main come first if they hold no less than main.
     beside = [w for x, w in left if x[1] == 2]
     first = beside and sum(beside) >= sum(w for x, w in left if x[1] & 1)
@@ -186,7 +198,7 @@ def page_lines(page: str | None) -> list[tuple[str, bool]]:
         inside = [x for x in left if x[0][1] & bit]
         if inside and sum(w for _, w in inside) >= _REGION_SHARE * sum(w for _, w in left):
             left, best = inside, bit
-    return [(t, not (p and best) or bool(d - {"form"})) for (t, _, p, d), _ in left]
+    return [(t, not (p and best) or bool(d - {"2 form"})) for (t, _, p, d), _ in left]
 
 
 def page_host(url: Column) -> Column:
@@ -280,7 +292,34 @@ def _shared(copy_share: float):
     return run
 
 
-def main_text(pages: DataFrame, url: str = "url", page: str = "html", copy_share: float = 0.6) -> DataFrame:
+def template_lines(placed: DataFrame, least: int, share: float) -> DataFrame:
+    """Per host the lines that at least ``least`` and more than ``share`` of its different pages hold.
+
+    Equal pages are one. A host has fewer such lines than its pages have on average, divided by ``share``.
+    """
+    different = placed.select("host", F.xxhash64("marks").alias("content"), "marks").groupBy("host", "content")
+    different = different.agg(F.first("marks").alias("marks"))
+    holding = different.select("host", F.explode(F.array_distinct("marks")).alias("mark"))
+    times = holding.groupBy("host", "mark").agg(F.count("*").alias("times")).where(F.col("times") >= least)
+    pages_of = different.groupBy("host").agg(F.count("*").alias("of"))
+    shared = times.join(pages_of, "host").where(F.col("times") > share * F.col("of"))
+    return shared.groupBy("host").agg(F.collect_set("mark").alias("template"))
+
+
+def broadcast_templates(template: DataFrame) -> DataFrame:
+    """Broadcast if the templates, measured, are small, so that a large host is not one task."""
+    lines = template.agg(F.sum(F.size("template") + 32)).first()[0] or 0
+    return F.broadcast(template) if 16 * lines <= BROADCAST_BYTES else template
+
+
+def main_text(
+    pages: DataFrame,
+    url: str = "url",
+    page: str = "html",
+    copy_share: float = 0.6,
+    template_pages: int = 4,
+    template_share: float = 0.5,
+) -> DataFrame:
     """Every row of ``pages``, without its html, with the main ``text`` and its length ``n_chars``.
 
     Blocks of text are found by the page's structure (``page_lines``). Within each host, pages are
@@ -314,6 +353,9 @@ def main_text(pages: DataFrame, url: str = "url", page: str = "html", copy_share
     marked = found.select("id", page_host(F.col("url")).alias("host"), page_path(F.col("url")).alias("path"), "marks", "open")
     placed = number_within(marked, [], [F.col("host"), F.col("path"), F.col("id")], "place")
     placed = store.save(placed.drop("path"), "places")
+    template = store.save(template_lines(placed, template_pages, template_share), "template")
+    opened = F.zip_with("open", "marks", lambda o, m: o | F.coalesce(F.array_contains("template", m), F.lit(False)))
+    placed = placed.join(broadcast_templates(template), "host", "left").withColumn("open", opened).drop("template")
     open_pages = placed.where(F.exists("open", lambda x: x))
 
     def neighbour(step: int, name: str) -> DataFrame:
