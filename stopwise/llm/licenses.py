@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,7 +80,7 @@ NOTICES = (
 )
 # Share of a notice's words that a block must hold.
 CONTAINMENT = 0.9
-# Notices of so many distinct words may be wrapped: they are looked for in paragraphs, others in lines.
+# Notices of so many distinct words are looked for in paragraphs, others in two lines next to each other.
 WRAPPED = 20
 
 
@@ -128,7 +129,8 @@ def scan(
     notices too; distinct, sorted, joined by commas) and ``score``: 1 if a phrase is found, else the
     largest share of a notice's words that a block holds, if any reaches ``containment``, else 0.
 
-    Text blocks are lines, and for notices of at least ``wrapped`` distinct words paragraphs. All
+    Text blocks are every line with the one after it, so that a notice may be wrapped, and for notices
+    of at least ``wrapped`` distinct words paragraphs. All
     pairs of a block and a notice at the containment are found: words are ordered by the number of
     documents that hold them; a notice is indexed by its rarest words only, as many as one of which
     any match must hold; the places of the first common word in both orders bound the overlap; what
@@ -152,7 +154,7 @@ def scan(
 
     rows = packed(docs)
     kept = [c for c in docs.columns if c != text]
-    body = F.lower(F.coalesce(F.col(f"given.`{text}`"), F.lit("")))
+    body = F.translate(F.coalesce(F.col(f"given.`{text}`"), F.lit("")), ascii_uppercase, ascii_lowercase)
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     may_hold = body.rlike("|".join(p.replace(" ", gap) for p in phrases.values()))
 
@@ -163,7 +165,12 @@ def scan(
             F.array_intersect(tokens, vocabulary(range(len(sets)))).alias("known"),
         )
 
-    def blocks(known: Column, separator: str, which) -> Column:
+    def with_next(held: Column) -> Column:
+        nothing = F.array(F.array().cast("array<string>"))
+        following = F.concat(F.slice(held, F.lit(2), F.size(held)), nothing)
+        return F.zip_with(held, following, lambda x, y: F.array_union(x, y))
+
+    def blocks(known: Column, separator: str, which, joined: bool) -> Column:
         of_kind = F.array_intersect(known, vocabulary(which))
         held = let(
             of_kind,
@@ -171,7 +178,7 @@ def scan(
                 F.split(body, separator), lambda part: F.array_intersect(F.split(part, NOT_WORD), v)
             ),
         )
-        enough = F.filter(held, lambda x: F.size(x) >= least(which))
+        enough = F.filter(let(held, with_next) if joined else held, lambda x: F.size(x) >= least(which))
         return F.when(F.size(of_kind) >= least(which), enough).otherwise(F.array().cast("array<array<string>>"))
 
     store = scratch(docs, "licenses")
@@ -184,8 +191,8 @@ def scan(
                 c["n_words"].alias("n_words"),
                 c["places"].alias("places"),
                 c["known"].alias("known"),
-                blocks(c["known"], "\n", short).alias("lines"),
-                blocks(c["known"], r"\n[\x20\x09-\x0D]*\n", long).alias("paragraphs"),
+                blocks(c["known"], "\n", short, True).alias("lines"),
+                blocks(c["known"], r"\n[\x20\x09-\x0D]*\n", long, False).alias("paragraphs"),
             ),
         ).alias("found"),
     )

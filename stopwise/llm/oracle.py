@@ -162,9 +162,12 @@ base AS (
 ),
 notice AS (SELECT * FROM (VALUES {held}) AS words (notice, label, word, size)),
 block AS (
-    SELECT id, false AS wrapped, unnest(string_split(body, chr(10))) AS block,
-        generate_subscripts(string_split(body, chr(10)), 1) AS number
-    FROM document
+    -- Every line with the one after it.
+    SELECT id, false AS wrapped, lines[number] || chr(10) || coalesce(lines[number + 1], '') AS block, number
+    FROM (
+        SELECT id, string_split(body, chr(10)) AS lines, generate_subscripts(string_split(body, chr(10)), 1) AS number
+        FROM document
+    ) AS line
     UNION ALL
     SELECT id, true, unnest(string_split_regex(body, '\n[\x20\x09-\x0D]*\n')),
         generate_subscripts(string_split_regex(body, '\n[\x20\x09-\x0D]*\n'), 1)

@@ -21,3 +21,25 @@ def test_official_headers(spark):
     rows = [(f"{label} {mark}", "\n".join(mark + x for x in text.split("\n")), label) for label, text in OFFICIAL.items() for mark in ("", "# ", " * ")]
     frame = spark.createDataFrame(rows, "name string, text string, label string")
     assert [(r.name, r.labels) for r in licenses.scan(frame).collect() if r.labels != r.label] == []
+
+
+WRAPPED = {
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.",
+    "mit": "Released under the\nMIT License",
+    "apache": "Licensed under the Apache\nLicense, Version 2.0",
+    "bsd": "Use of this source code is governed\nby a BSD-style license",
+    "cc0": "To the extent possible under law, the author has waived all\ncopyright and related rights to this work",
+}
+
+
+def test_short_notices_wrapped_over_two_lines(spark):
+    rows = [
+        (f"{label} {mark}", "Before it.\n" + "\n".join(mark + x for x in text.split("\n")) + "\nAfter it.", label)
+        for label, text in WRAPPED.items()
+        for mark in ("", "# ", " * ")
+    ]
+    # Words that stand three lines apart are no notice, nor do paragraphs meet.
+    rows += [("apart", "Released under the\nname of its author,\nthe MIT License", "")]
+    rows += [("blank", "Released under the\n\nMIT License", ""), ("Kelvin", "Licen\u017fed under the MIT Licen\u017fe", "")]
+    frame = spark.createDataFrame(rows, "name string, text string, label string")
+    assert [(r.name, r.labels) for r in licenses.scan(frame).collect() if r.labels != r.label] == []
