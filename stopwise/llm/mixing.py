@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,12 +18,23 @@ CELLS = 4096
 
 
 def quality_weight(text: Column) -> Column:
-    """From 0.25 to 1: the share of characters that are neither symbols nor digits."""
+    """From 0.25 to 1: the share of characters that are neither symbols nor digits; of use without labels."""
     body = F.coalesce(text, F.lit(""))
     plain = F.length(F.regexp_replace(body, r"[#*$%&|<>=_~^{}\\0-9]+", ""))
     return F.when(F.length(body) > 0, 0.25 + 0.75 * plain / F.length(body)).otherwise(F.lit(0.25))
 
 
+def draw_marks(text: Column, key: Column, seed: int) -> Column:
+    """A number for each document that depends on seed, key and text only."""
+    return F.xxhash64(F.lit(seed), key.cast("string"), text)
+
+
+def draw_keys(mark: Column, weight: Column) -> Column:
+    """Exponential keys, the smaller the likelier a document is drawn, divided by the weight."""
+    uniform = (F.shiftrightunsigned(mark, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    return -F.log(uniform) / weight
+
+
 def source_targets(sizes: DataFrame, total_share: float, most: float, store) -> DataFrame:
     """(source, size, target) from (source, size, weight): shares by weight, none above ``most`` sizes.
 
@@ -53,6 +66,7 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     cells: int = CELLS,
     seed: int = 42,
+    weight: Callable[[Column], Column] = quality_weight,
     keep_text: bool = False,
 ) -> DataFrame:
     """Every row of ``docs`` with how often the mix takes it.
@@ -64,7 +78,7 @@ def mix(
     Sources in the order of their code points, null last, weigh ``weights`` in turn and share
     ``total_share`` of all words, none more than ``most`` times its size. A source is first taken
     whole as often as its target holds it. For the rest, each document draws an exponential key,
-    divided by its quality weight; in the order of the keys, documents are taken until their words
+    divided by the quality ``weight`` of its text (above 0; ``weights.fit_weight`` fits one); in the order of the keys, documents are taken until their words
     reach the budget, the last one only if that comes nearer to it. Keys derive from key, text and
     seed, so reruns agree.
 
@@ -79,15 +93,14 @@ def mix(
     store = scratch(docs, "mixing")
     body = F.col(f"given.`{text}`")
     kept = [c for c in docs.columns if keep_text or c != text]
-    mark = F.xxhash64(F.lit(seed), F.col(f"given.`{key}`").cast("string"), body)
-    uniform = (F.shiftrightunsigned(mark, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    mark = draw_marks(body, F.col(f"given.`{key}`"), seed)
     narrow = rows.select(
         F.struct(*[F.col(f"given.`{c}`") for c in kept], F.lit(1).alias("_unused")).alias("row"),
         F.monotonically_increasing_id().alias("id"),
         F.col(f"given.`{source}`").alias("source"),
         F.size(words(body)).cast("long").alias("size"),
         mark.alias("mark"),
-        (-F.log(uniform) / quality_weight(body)).alias("draw"),
+        draw_keys(mark, weight(body)).alias("draw"),
     )
     # exp(-draw / 2) falls as the key rises; its cells are filled about evenly.
     cell = F.least(F.lit(cells - 1), F.floor((1 - F.exp(-F.col("draw") / 2)) * cells)).cast("int")

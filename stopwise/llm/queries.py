@@ -18,6 +18,7 @@ from stopwise.llm import (
     simhash,
     substrings,
     toxicity,
+    weights,
     wordpieces,
 )
 from stopwise.llm.common import let, table, words
@@ -85,7 +86,8 @@ def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.mix(docs, total_share=1.5, most=2.0, weights=(5, 2, 1))
+    weight = weights.fit_weight(docs, table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(docs, total_share=1.5, most=2.0, weights=(5, 2, 1), weight=weight)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 

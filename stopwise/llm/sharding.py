@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stopwise.llm.common import packed, scratch, unpacked
+from stopwise.operators.numbering import number_within
 
 # Bits of a sort key: of the text's hash, of the key's hash, and of the row.
 TEXT_BITS, KEY_BITS, ROW_BITS = 36, 19, 8
 BITS = TEXT_BITS + KEY_BITS + ROW_BITS
 # Cells that a round of counting divides an interval of keys into: 2 ** CELL_BITS.
 CELL_BITS = 12
-# Bytes after which a shard is sorted in several pieces.
-PIECE_BYTES = 1 << 30
+# Bytes and rows on average after which a shard is sorted over several tasks.
+PIECE_BYTES, PIECE_ROWS = 1 << 30, 1_000_000
 
 
 def sort_key(text: Column, key: Column, row: Column) -> Column:
@@ -108,6 +109,7 @@ def shard(
     shards: int = 16,
     tolerance: float = 0.001,
     piece_bytes: int = PIECE_BYTES,
+    piece_rows: int = PIECE_ROWS,
     keep_text: bool = False,
 ) -> DataFrame:
     """Every row of ``docs`` with its ``shard`` and its ``slot`` there, shards of near equal bytes.
@@ -117,13 +119,14 @@ def shard(
 
     Rows are in the order of a key from text, ``key`` and row, so equal texts are neighbours. Exact
     bytes below candidate boundaries are counted until every boundary is within ``tolerance`` of a
-    shard's bytes; then rows are exchanged once, a shard larger than ``piece_bytes`` in several
-    pieces. A slot is the row's place in its piece and the counted rows before the piece.
+    shard's bytes; then rows are exchanged once. Shards that have, on average, up to ``piece_bytes`` and
+    ``piece_rows`` are sorted in a task each, larger ones over many tasks (``number_within``); either
+    gives the same slots.
 
     Null texts are empty (size 1); null keys are equal keys; copies and repeated rows may be divided
     between neighbouring shards; a single text larger than a shard stays whole; an empty table gives
-    no rows. The driver holds the counts of key cells, a number that follows the shards and pieces
-    and not the rows.
+    no rows. The driver holds the counts of key cells: ``2 ** CELL_BITS`` for each boundary between
+    shards, whatever the rows and their bytes.
     """
     rows = packed(docs)
     store = scratch(docs, "sharding")
@@ -137,33 +140,31 @@ def shard(
     )
     keyed = store.save(keyed, "rows")
     narrow = keyed.select("key", "size")
-    total = narrow.agg(F.sum("size")).first()[0] or 0
-    pieces = max(1, -(-total // (shards * piece_bytes)))
-    bounds, _ = splitters(narrow, shards * pieces, tolerance)
+    bounds = [key for key, _ in splitters(narrow, shards, tolerance)[0]]
 
-    # The piece of a row: those that begin in its cell of keys at or below it, after those before.
+    # The shard of a row: those that begin in its cell of keys at or below it, after those before.
     shift = BITS - CELL_BITS
-    edges = [0, *[k for k, _ in bounds]]
+    edges = [0, *bounds]
     cells = []
     for cell in range(1 << CELL_BITS):
         low, high = bisect_right(edges, cell << shift), bisect_right(edges, ((cell + 1) << shift) - 1)
         cells.append((cell, low - 1, edges[low:high]))
     places = docs.sparkSession.createDataFrame(cells, "cell int, first int, edges array<bigint>")
-    below = [0, *[n for _, n in bounds]]
-    starts = [(i, n - below[i - i % pieces]) for i, n in enumerate(below)]
-    offsets = docs.sparkSession.createDataFrame(starts, "piece int, before bigint")
-
     inside = F.size(F.filter("edges", lambda e: e <= F.col("key")))
-    dealt = keyed.join(F.broadcast(places), F.shiftright("key", shift).cast("int") == F.col("cell")).withColumn(
-        "piece", F.col("first") + inside
-    )
-    order = Window.partitionBy("piece").orderBy("key", "crc")
-    placed = dealt.withColumn("place", F.row_number().over(order) - 1).join(F.broadcast(offsets), "piece")
+    dealt = keyed.join(F.broadcast(places), F.shiftright("key", shift).cast("int") == F.col("cell"))
+    dealt = dealt.withColumn("shard", F.col("first") + inside).drop("cell", "first", "edges")
+    n, total = narrow.agg(F.count(F.lit(1)), F.sum("size")).first()
+    order = [F.col("key"), F.col("crc")]
+    if n <= shards * piece_rows and (total or 0) <= shards * piece_bytes:
+        slot = F.row_number().over(Window.partitionBy("shard").orderBy(*order))
+        placed = dealt.withColumn("place", slot)
+    else:
+        placed = number_within(dealt, ["shard"], order, "place")
     return unpacked(
         placed,
         kept,
         size=F.col("size"),
         text_crc32=F.col("crc"),
-        shard=F.floor(F.col("piece") / pieces).cast("int"),
-        slot=(F.col("place") + F.col("before")).cast("long"),
+        shard=F.col("shard").cast("int"),
+        slot=(F.col("place") - 1).cast("long"),
     )

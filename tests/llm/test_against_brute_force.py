@@ -11,7 +11,19 @@ import numpy as np
 import pytest
 from copies import normal, shared_lines
 
-from stopwise.llm import decontaminate, licenses, mixing, ngrams, pages, quality, sharding, simhash, substrings, wordpieces
+from stopwise.llm import (
+    decontaminate,
+    licenses,
+    mixing,
+    ngrams,
+    pages,
+    quality,
+    sharding,
+    simhash,
+    substrings,
+    weights,
+    wordpieces,
+)
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -176,8 +188,19 @@ def test_links_equal_all_pairs(spark, block):
     assert groups[0] == groups[1]
 
 
-def test_shards(documents, texts):
-    found = sharding.shard(documents, shards=4, piece_bytes=30_000, tolerance=0.01).collect()
+@pytest.mark.parametrize("settings", [{}, {"piece_bytes": 1}, {"piece_rows": 10}])
+def test_shards(documents, texts, settings, monkeypatch):
+    counted = []
+    plain = sharding._counted
+
+    def watched(*args):
+        counted.append(plain(*args))
+        return counted[-1]
+
+    monkeypatch.setattr(sharding, "_counted", watched)
+    found = sharding.shard(documents, shards=4, tolerance=0.01, **settings).collect()
+    # What comes to the driver does not depend on the pieces: cells of three boundaries.
+    assert max(map(len, counted)) <= 3 * 2**sharding.CELL_BITS and len(counted) <= 6
     assert sorted(r.doc_id for r in found) == sorted(texts)
     total, largest = sum(r["size"] for r in found), max(r["size"] for r in found)
     for shard in range(4):
@@ -186,6 +209,8 @@ def test_shards(documents, texts):
         assert abs(sum(r["size"] for r in mine) - total / 4) <= largest + 0.02 * total / 4
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in found)
     assert all(r["size"] == len(texts[r.doc_id].encode()) + 1 for r in found)
+    whole = sharding.shard(documents, shards=4, tolerance=0.01).collect()
+    assert {(r.doc_id, r.shard, r.slot) for r in found} == {(r.doc_id, r.shard, r.slot) for r in whole}
 
 
 @pytest.mark.parametrize("settings", [{}, {"head_words": 100}, {"block_text": 20_000, "filter_bytes": 4_000}])
@@ -207,15 +232,50 @@ def test_scores(documents, texts, settings):
     assert score > base  # the model foretells texts it has not seen better than single words do
 
 
+def test_drawn_documents_are_those_of_the_smallest_keys(spark, documents):
+    """The copies of every document, from its key and a plain sort of each source."""
+    weight = weights.fit_weight(documents, spark.read.parquet(f"{SF}/labels.parquet"))
+    text, key = documents["text"], documents["doc_id"]
+    mark = mixing.draw_marks(text, key, 42)
+    keyed = documents.select("doc_id", mark.alias("mark"), mixing.draw_keys(mark, weight(text)).alias("draw"))
+    draws = {r.doc_id: (r.draw, r.mark) for r in keyed.collect()}
+    assert len({round(r.w, 6) for r in documents.select(weight(text).alias("w")).collect()}) > 5
+    for cells in (4096, 1):
+        found = mixing.mix(documents, weight=weight, cells=cells).collect()
+        for source in {r.source for r in found}:
+            mine = sorted((r for r in found if r.source == source), key=lambda r: draws[r.doc_id])
+            size, target = mine[0].source_size, mine[0].target
+            whole, taken = int(target // size), 0
+            for r in mine:
+                part = bool(r["size"]) and taken + r["size"] / 2 <= target - whole * size
+                taken = taken + r["size"] if part else math.inf
+                assert r.copies == whole + part and r.taken == r.copies * r["size"]
+
+
+def test_fitted_weights_follow_the_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    learned, rest = (labels.where(f"doc_id % 2 = {k}") for k in (0, 1))
+    weight = weights.fit_weight(docs, learned)
+    judged = docs.join(rest, "doc_id").select("quality", weight(docs["text"]).alias("w")).collect()
+    mean = [sum(r.w for r in judged if r.quality == q) / sum(r.quality == q for r in judged) for q in (0, 1)]
+    assert mean[1] > 0.9 and mean[0] < 0.3 and all(weights.LEAST <= r.w <= 1 for r in judged)
+    # Null and empty texts have a weight too; without labels all weigh one.
+    odd = spark.createDataFrame([(None,), ("",), ("word " * 20_000,)], "text string")
+    assert all(0 < r[0] <= 1 for r in odd.select(weight(odd["text"])).collect())
+    none = weights.fit_weight(docs, labels.where("quality = 1"))
+    assert {r[0] for r in odd.select(none(odd["text"])).collect()} == {1.0}
+
+
 def test_mix(documents):
     found = mixing.mix(documents).collect()
     assert {(r.doc_id, r.taken) for r in found} == {(r.doc_id, r.taken) for r in mixing.mix(documents).collect()}
     sources = sorted({r.source for r in found})
     sizes = {s: sum(r["size"] for r in found if r.source == s) for s in sources}
-    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    shares = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
     targets, free, rest = {}, set(sources), 1.5 * sum(sizes.values())
     while True:
-        share = {s: rest * weights[s] / sum(weights[x] for x in free) for s in free}
+        share = {s: rest * shares[s] / sum(shares[x] for x in free) for s in free}
         over = {s for s in free if share[s] > 2 * sizes[s]}
         if not over:
             break
