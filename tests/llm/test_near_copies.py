@@ -25,6 +25,7 @@ def folder(spark, tmp_path_factory):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(docs, schema).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([(1, "nothing of this is in a text")], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int").write.parquet(f"{root}/labels.parquet")
     return str(root)
 
 
