@@ -290,6 +290,32 @@ def test_mix(documents):
         assert all(r.copies in (int(targets[s] // sizes[s]), int(targets[s] // sizes[s]) + 1) for r in mine)
 
 
+@pytest.mark.parametrize("settings", [{}, {"block_text": 20_000, "filter_bytes": 40_000}])
+def test_scores_from_quantised_counts(documents, texts, settings, monkeypatch):
+    """Every score from exact counts, rounded to the middle of their power of two, with and without several parts."""
+    monkeypatch.setattr(ngrams, "BITS_PER_ENTRY", 120)  # so large a filter has no false hits here
+    single, double, tokens = Counter(), Counter(), {}
+    for d, t in texts.items():
+        tokens[d] = t.encode().lower().split() + [ngrams.END]
+        if not ngrams.is_held_out(str(d)):
+            single.update(tokens[d])
+            double.update(zip([ngrams.END, *tokens[d]], tokens[d]))
+    n, v = sum(single.values()), len(single)
+
+    def rounded(count):
+        low = 1 << (count.bit_length() - 1) if count else 0
+        return (low + 2 * low - 1) / 2 if count else 0.0
+
+    for r in ngrams.score_texts(documents, **settings).collect():
+        expected = 0.0
+        for before, word in zip([ngrams.END, *tokens[r.doc_id]], tokens[r.doc_id]):
+            history = rounded(single[before])
+            pair = min(rounded(double[before, word]), history)
+            lower = (rounded(single[word]) + 1) / (n + v + 1)
+            expected += math.log10((pair + ngrams.SMOOTHING * lower) / (history + ngrams.SMOOTHING))
+        assert r.score == pytest.approx(expected, rel=1e-9)
+
+
 @pytest.mark.parametrize("block_bytes", [4_000_000, 500])
 def test_decontamination(spark, documents, texts, block_bytes):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
