@@ -12,7 +12,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stopwise.functions.dates import week_start
 from stopwise.operators.calendar import Calendar
-from stopwise.operators.storage import Scratch
 from stopwise.plans.scenarios import find_scenario, scenario
 from stopwise.sources.sinks import write_report
 from stopwise.sources.snapshots import DayTable
@@ -106,8 +105,7 @@ def refresh_stream(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        scratch = Scratch(spark, "refresh")
-        changes = scratch.save(batch, "changes")
+        changes = _written(batch, f"{store}/arriving/changes")
         # Dates of a calendar: at most one row for each.
         dates = sorted(r.date for r in changes.select(F.explode("dates").alias("date")).distinct().collect())
         if not dates:
@@ -115,7 +113,8 @@ def refresh_stream(
         rows = prepare(changes.select("row.*"))
         rows = rows.drop(version) if version and version in rows.columns else rows
         leaves = F.col("departure_ts").cast("date")
-        arrived = scratch.save(rows.withColumns({"departure_date": leaves, "batch": F.lit(batch_id).cast("long")}), "rows")
+        rows = rows.withColumns({"departure_date": leaves, "batch": F.lit(batch_id).cast("long")})
+        arrived = _written(rows, f"{store}/arriving/rows")
 
         stored = DayTable(spark, store, "departure_date")
         before = stored.read(arrived.schema, only=dates)
@@ -143,6 +142,12 @@ def refresh_stream(
         return writer.trigger(**(trigger or {"processingTime": EVERY})).start()
 
 
+def _written(rows: DataFrame, path: str) -> DataFrame:
+    """The rows of a batch, which is read more than once; they take the place of those of the batch before."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _as_frame(spark: SparkSession, dates: list[date]) -> DataFrame:
     return spark.createDataFrame([(d,) for d in dates], "departure_ts date")
 
