@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from stopwise.llm.common import packed, scratch, unpacked
 
@@ -18,8 +19,9 @@ GRAM = 128
 GROUP = 100_000
 # Surroundings that are sorted at a time.
 SHARD = 4_000
-# Bytes of surroundings that are sorted together; beyond them the sums of the prefix hashes could overflow.
-SORTED_BYTES = 1 << 24
+# Bytes of surroundings that are sorted together, which take some forty times as much memory; the sums of the
+# prefix hashes would not overflow below 2 ** 24.
+SORTED_BYTES = 1 << 22
 # Text bytes that are marked at once.
 CHUNK = 1 << 19
 # Bits of the filter that keeps unaffected texts out of the shuffle, in words of 64.
@@ -241,19 +243,64 @@ def repeated_offsets(
     return least, greatest
 
 
-def offsets_by_window(contexts: list[bytes], left: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """As ``repeated_offsets`` for one group, window by window: for groups too large to sort at once."""
-    least, greatest = np.full(len(contexts), reach), np.full(len(contexts), -1)
-    for o in range(reach):
-        seen: dict[bytes, int] = {}
-        for i, (context, before) in enumerate(zip(contexts, left.tolist())):
-            if before >= o and len(context) - before >= length - o:
-                window = hashlib.blake2b(context[before - o : before - o + length], digest_size=16).digest()
-                first = seen.setdefault(window, i)
+def offsets_of_many(
+    contexts: list[bytes], left: np.ndarray, length: int, reach: int, sorted_bytes: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """As ``repeated_offsets`` for one group that is too large to sort at once.
+
+    Windows that start ``low`` to ``high`` bytes before the mark all hold ``low`` bytes before it and
+    ``length - high + 1`` from it on. Contexts that differ in these have no such window in common, so they
+    are told apart by them; what is still together and too large is looked at for each half of
+    the offsets. Contexts that agree in all that the windows can hold repeat wherever these fit, and
+    one of them goes on for all.
+    """
+    before = left.tolist()
+    behind = [len(c) - b for c, b in zip(contexts, before)]
+    least, greatest = [reach] * len(contexts), [-1] * len(contexts)
+
+    def hit(i: int, low: int, high: int) -> None:
+        if low < least[i]:
+            least[i] = low
+        if high > greatest[i]:
+            greatest[i] = high
+
+    waiting = [(range(len(contexts)), 0, reach)]
+    while waiting:
+        members, low, high = waiting.pop()
+        core, widest = length - high + 1, length - low
+        members = [i for i in members if before[i] >= low and behind[i] >= core]
+        if len(members) < 2:
+            continue
+        if high - low > 8 and sum(min(before[i], high - 1) + min(behind[i], widest) for i in members) <= sorted_bytes:
+            size = np.array([min(before[i], high - 1) for i in members], np.int64)
+            parts = [contexts[i][max(0, before[i] - high + 1) : before[i] + widest] for i in members]
+            first, last = repeated_offsets(parts, size, np.zeros(len(parts), np.int64), length, high)
+            for i, a, b in zip(members, first.tolist(), last.tolist()):
+                if b >= 0:
+                    hit(i, a, b)
+            continue
+        shared: dict[bytes, list[int]] = {}
+        for i in members:
+            at = before[i]
+            shared.setdefault(xxh3_128_digest(contexts[i][at - low : at + core]), []).append(i)
+        for together in shared.values():
+            if len(together) < 2:
+                continue
+            if high - low == 1:
+                for i in together:
+                    hit(i, low, low)
+                continue
+            different: dict[tuple, int] = {}
+            for i in together:
+                at, most = before[i], min(before[i], high - 1)
+                first = different.setdefault((most, xxh3_128_digest(contexts[i][at - most : at + widest])), i)
                 if first != i:
                     for x in (first, i):
-                        least[x], greatest[x] = min(least[x], o), o
-    return least, greatest
+                        hit(x, max(low, length - behind[x]), min(high - 1, before[x]))
+            if len(different) > 1:
+                ones, middle = list(different.values()), (low + high) // 2
+                waiting += [(ones, low, middle), (ones, middle, high)]
+    return np.array(least), np.array(greatest)
 
 
 _MARK = pa.schema([("a", pa.int64()), ("b", pa.int32()), ("at", pa.int32()), ("gram", pa.int64())])
@@ -351,7 +398,7 @@ def _repeats(length: int, reach: int, shard: int, sorted_bytes: int):
         grams, left = rows["gram"].to_numpy(), rows["before"].to_numpy().astype(np.int64)
         contexts = rows["context"].to_pylist()
         if sum(map(len, contexts)) >= sorted_bytes:
-            least, greatest = offsets_by_window(contexts, left, length, reach)
+            least, greatest = offsets_of_many(contexts, left, length, reach, sorted_bytes)
         else:
             least, greatest = repeated_offsets(contexts, left, grams, length, reach)
         hit = np.flatnonzero(greatest >= 0)
@@ -478,8 +525,8 @@ def repeated_substrings(
     one, so copies cost little; different ones of the same gram are compared by suffix sorting
     (``Suffixes``), in shards of about ``shard``, or one gram's alone up to ``sorted_bytes``. A gram
     with more than ``group`` different surroundings is compared window by window in an aggregation
-    instead, which combines before it shuffles, and one with more bytes than are sorted together window
-    by window in its task. A gram that very many texts hold is no hot key: the repeated grams are
+    instead, which combines before it shuffles, and one with more bytes than are sorted together is cut
+    up by what its windows must share (``offsets_of_many``). A gram that very many texts hold is no hot key: the repeated grams are
     written before they are joined, so that Spark can split the marks of one of them over tasks. Texts
     are told apart by 96-bit hash, surroundings by 128-bit hash.
     """

@@ -114,6 +114,37 @@ def test_longest_common_subsequence():
         assert len(found) == table[-1][-1] and all(x in rest for x in found)
 
 
+def test_offsets_of_many_contexts():
+    """A large group against all windows of all pairs, with few letters so that much is shared."""
+    draw = random.Random(8)
+    for length, gram, limit in ((30, 10, 1), (30, 10, 400), (24, 20, 1), (40, 8, 900)):
+        reach = length - gram + 1
+        mark = bytes(draw.choices(b"ab", k=gram))
+        tails = [bytes(draw.choices(b"ab", k=draw.randrange(reach + 4))) for _ in range(6)]
+        heads = [bytes(draw.choices(b"ab", k=draw.randrange(reach + 4))) for _ in range(6)]
+        found = set()
+        while len(found) < 60:
+            head, tail = draw.choice(heads), draw.choice(tails)
+            if draw.random() < 0.5:
+                head = bytes(draw.choices(b"ab", k=3)) + head
+            if draw.random() < 0.5:
+                tail = tail[: draw.randrange(len(tail) + 1)] + bytes(draw.choices(b"ab", k=4))
+            head, tail = head[-(reach - 1) :], (mark + tail)[:length]
+            found.add((head, tail))
+        contexts, left = [h + t for h, t in sorted(found)], np.array([len(h) for h, _ in sorted(found)])
+        times = Counter()
+        windows = [
+            {o: c[b - o : b - o + length] for o in range(reach) if b >= o and len(c) - b >= length - o}
+            for c, b in zip(contexts, left.tolist())
+        ]
+        for of in windows:
+            times.update(of.items())
+        hits = [[o for o, w in of.items() if times[o, w] > 1] for of in windows]
+        least, greatest = substrings.offsets_of_many(contexts, left, length, reach, limit)
+        assert least.tolist() == [min(h, default=reach) for h in hits]
+        assert greatest.tolist() == [max(h, default=-1) for h in hits]
+
+
 @pytest.mark.parametrize("settings", [{}, {"group": 1}, {"shard": 2}, {"sorted_bytes": 1_500}, {"length": 40, "gram": 12, "group": 3}])
 def test_repeated_strings(documents, texts, settings):
     size = settings.get("length", 400)
