@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stopwise.llm.common import words
+from stopwise.llm.common import let, words
 
 # Labelled rows that the weight is fitted on, and steps that a feature is divided into.
 SAMPLE, STEPS = 20_000, 8
@@ -20,13 +20,11 @@ _BUCKETS = 4_096
 def steps(text: Column) -> Column:
     """Features of a text, each as a step from 0 to ``STEPS - 1``: an array in a fixed order.
 
-    Shares of symbols, digits, capitals and white space among the characters, the share of different
-    words, the mean length of words and the number of words.
+    Shares of symbols and capitals among the characters, the share of different words, the mean length
+    of words and the number of words.
     """
     body = F.coalesce(text, F.lit(""))
     size = F.greatest(F.length(body), F.lit(1))
-    found = words(text)
-    n = F.greatest(F.size(found), F.lit(1))
 
     def share(pattern: str) -> Column:
         return (F.length(body) - F.length(F.regexp_replace(body, pattern, ""))) / size
@@ -35,15 +33,17 @@ def steps(text: Column) -> Column:
         """Equal steps of the value over ``scale``, the last for all beyond."""
         return F.least(F.floor(value / scale * STEPS), F.lit(STEPS - 1)).cast("int")
 
-    return F.array(
-        even(share(r"[#*$%&|<>=_~^{}\\]+"), 0.2),
-        even(share(r"[0-9]+"), 0.2),
-        even(share(r"[A-Z]+"), 0.4),
-        even(share(r"[\x09-\x0D]+"), 0.1),
-        even(F.size(F.array_distinct(found)) / n, 1.0),
-        even(F.length(F.array_join(found, "")) / n, 16.0),
-        F.least(F.floor(F.log2(n) / 2), F.lit(STEPS - 1)).cast("int"),
-    )
+    def of(found: Column) -> Column:
+        n = F.greatest(F.size(found), F.lit(1))
+        return F.array(
+            even(share(r"[#*$%&|<>=_~^{}\\]+"), 0.2),
+            even(share(r"[A-Z]+"), 0.4),
+            even(F.size(F.array_distinct(found)) / n, 1.0),
+            even(size / n, 16.0),
+            F.least(F.floor(F.log2(n) / 2), F.lit(STEPS - 1)).cast("int"),
+        )
+
+    return let(words(text), of)
 
 
 def fit_weight(
