@@ -119,47 +119,51 @@ class Suffixes:
             low[open_[same]] = middle[same]
             high[open_[~same]] = middle[~same] - 1
 
-    def less(self, a: np.ndarray, b: np.ndarray, groups: np.ndarray, or_equal: bool) -> np.ndarray:
-        """Whether a's group and suffix come before b's; a suffix comes after its beginnings."""
-        answer = groups[a] < groups[b]
-        same = np.flatnonzero(groups[a] == groups[b])
-        x, y = a[same], b[same]
-        common = self.extension(x, y)
-        ended = common == np.minimum(self.sizes[x], self.sizes[y])
-        byte_a, byte_b = self.data[self.starts[x] + common], self.data[self.starts[y] + common]
-        shorter = self.sizes[x] <= self.sizes[y] if or_equal else self.sizes[x] < self.sizes[y]
-        answer[same] = np.where(ended, shorter, byte_a < byte_b)
-        return answer
+    def less(self, a: np.ndarray, b: np.ndarray, or_equal: bool) -> np.ndarray:
+        """Whether suffix a comes before suffix b; a suffix comes after its beginnings."""
+        common = self.extension(a, b)
+        ended = common == np.minimum(self.sizes[a], self.sizes[b])
+        byte_a, byte_b = self.data[self.starts[a] + common], self.data[self.starts[b] + common]
+        shorter = self.sizes[a] <= self.sizes[b] if or_equal else self.sizes[a] < self.sizes[b]
+        return np.where(ended, shorter, byte_a < byte_b)
 
     def order(self, groups: np.ndarray) -> np.ndarray:
-        """Merge sort, all runs of a round at once: an element's place is its own plus its rank in the other run."""
+        """Merge sort within each group, all runs of a round at once.
+
+        An element's place is its own plus its rank in the other run. Rounds go on for the elements of
+        groups that are longer than a run.
+        """
         n = len(groups)
-        order = np.arange(n)
+        order = np.argsort(groups, kind="stable")
+        bounds = np.flatnonzero(np.diff(groups[order])) + 1
+        begins, ends = np.concatenate([[0], bounds]), np.concatenate([bounds, [n]])
+        sizes = ends - begins
+        group_start, group_end = np.repeat(begins, sizes), np.repeat(ends, sizes)
         width = 1
-        while width < n:
-            place = np.arange(n)
-            run = place // width
+        while width < sizes.max(initial=0):
+            place = np.flatnonzero(group_end - group_start > width)
+            start, end = group_start[place], group_end[place]
+            run = (place - start) // width
             left = run % 2 == 0
-            low = np.where(left, (run + 1) * width, (run - 1) * width)
-            high = np.minimum(np.where(left, low + width, low + width), n)
-            low = np.minimum(low, n)
+            low = np.minimum(start + np.where(left, run + 1, run - 1) * width, end)
+            high = np.minimum(low + width, end)
             begin = low.copy()
             while True:
                 open_ = np.flatnonzero(low < high)
                 if not len(open_):
                     break
                 middle = (low[open_] + high[open_]) // 2
-                own, other = order[open_], order[middle]
+                own, other = order[place[open_]], order[middle]
                 from_left = left[open_]
                 before = np.empty(len(open_), bool)
                 # A left element goes before its equals of the right run, a right one after those of the left.
-                before[from_left] = self.less(other[from_left], own[from_left], groups, False)
-                before[~from_left] = self.less(other[~from_left], own[~from_left], groups, True)
+                before[from_left] = self.less(other[from_left], own[from_left], False)
+                before[~from_left] = self.less(other[~from_left], own[~from_left], True)
                 low[open_[before]] = middle[before] + 1
                 high[open_[~before]] = middle[~before]
             target = place + (low - begin) - np.where(left, 0, width)
-            merged = np.empty_like(order)
-            merged[target] = order
+            merged = order.copy()
+            merged[target] = order[place]
             order, width = merged, width * 2
         return order
 
