@@ -60,7 +60,9 @@ class DayTable:
             version = last + 1
         entries = days.select(F.lit(version).cast("bigint").alias("version"), "day", F.lit(snapshot).alias("snapshot"))
         if versions >= COMPACT_AFTER:
-            entries = self._valid(log).join(days, "day", "left_anti").select("version", "day", "snapshot").unionByName(entries)
+            # The days that stay get this version too, so that those of an epoch count what was appended to it.
+            others = self._valid(log).join(days, "day", "left_anti").withColumn("version", F.lit(version).cast("bigint"))
+            entries = others.unionByName(entries)
             epoch += 1
         # One row per day: a single file, and so a single step.
         entries.coalesce(1).write.mode("append").parquet(f"{self.path}/log/epoch={epoch}")
