@@ -1,14 +1,16 @@
 """Greedy nearest-neighbour walk over the stops of one route, as run inside a task.
 
 A helper for Arrow batches: Spark partitions, groups and sorts the stops (see ``routes``); this only
-walks arrays. Stops are kept in leaves of neighbouring points. A step looks at the leaves nearest
-first and stops once no other leaf can hold anything as near, so it does not measure the distance to
-every remaining stop.
+walks arrays. The nearest neighbours of every stop are found for all stops at once, and a step goes to
+the first of them that is not yet visited. Only where all are visited it searches: stops are kept in
+leaves of neighbouring points, and it looks at the leaves nearest first and stops once no other leaf
+can hold anything as near, so it does not measure the distance to every remaining stop.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -17,6 +19,8 @@ from stopwise.constants import EARTH_RADIUS_KM
 _LEAF = 96
 # Routes up to this long are cheaper to walk side by side than one by one.
 SHORT = 256
+# Neighbours known of a stop, looked for in this many leaves of so many stops; leaves handled at once.
+_NEAR, _AROUND, _SMALL_LEAF, _AT_ONCE = 12, 9, 12, 64
 _DIAMETER_KM = 2 * EARTH_RADIUS_KM
 # Safety margin for comparing a leaf bound, computed from unit vectors, with a measured distance.
 _RELATIVE, _ABSOLUTE = 1 + 1e-9, 1e-14
@@ -35,8 +39,8 @@ def _unit_vectors(lat, lon) -> np.ndarray:
 class _Leaves:
     """Stops not yet visited, in leaves of neighbouring points with a box around each."""
 
-    def __init__(self, lat: np.ndarray, lon: np.ndarray, stops: np.ndarray):
-        self.lat, self.lon = lat, lon
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, stops: np.ndarray, visited: np.ndarray):
+        self.lat, self.lon, self.visited = lat, lon, visited
         points = _unit_vectors(lat[stops], lon[stops])
         size = max(_LEAF, int(np.sqrt(len(stops))))
         parts, whole = [np.arange(len(stops))], []
@@ -61,27 +65,88 @@ class _Leaves:
         np.maximum(gap, 0.0, out=gap)
         return np.einsum("ij,ij->j", gap, gap)
 
-    def nearest(self, here: tuple[float, float]) -> tuple[float, int, int]:
-        """Distance, stop and leaf of the nearest stop; the first in input among equals."""
+    def nearest(self, here: tuple[float, float]) -> int:
+        """The nearest stop; the first in input among equals."""
         bounds = self._bounds(here) if len(self.stops) > 1 else np.zeros(1)
-        found, reach = (np.inf, -1, -1), np.inf
+        found, reach = (np.inf, -1), np.inf
         leaf = int(bounds.argmin())
         while bounds[leaf] < np.inf and bounds[leaf] <= reach:
-            stops = self.stops[leaf]
-            distance = _distance_km(self.lat[stops], self.lon[stops], *here)
-            first = int(distance.argmin())
-            if found[1] < 0 or (distance[first], stops[first]) < found[:2]:
-                found = (float(distance[first]), int(stops[first]), leaf)
-                reach = (2 * math.sin(found[0] / _DIAMETER_KM) * _RELATIVE + _ABSOLUTE) ** 2
+            stops = self.stops[leaf] = self.stops[leaf][self.visited[self.stops[leaf]] == 0]
+            if len(stops):
+                distance = _distance_km(self.lat[stops], self.lon[stops], *here)
+                first = int(distance.argmin())
+                if found[1] < 0 or (distance[first], stops[first]) < found:
+                    found = (float(distance[first]), int(stops[first]))
+                    reach = (2 * math.sin(found[0] / _DIAMETER_KM) * _RELATIVE + _ABSOLUTE) ** 2
+            else:
+                self.low[:, leaf] = np.inf
             bounds[leaf] = np.inf
             leaf = int(bounds.argmin())
-        return found
-
-    def remove(self, stop: int, leaf: int) -> None:
-        stops = self.stops[leaf]
-        self.stops[leaf] = stops[stops != stop]
-        if len(stops) == 1:
-            self.low[:, leaf] = np.inf
+        return found[1]
+
+
+def _strips(points: np.ndarray) -> np.ndarray:
+    """Positions of ``points`` in leaves: strips along one axis, cut along another; -1 fills the leaves up."""
+    n = points.shape[1]
+    across, along = np.argsort(np.ptp(points, axis=1))[:0:-1]
+    strips = max(1, round(math.sqrt(n / _SMALL_LEAF)))
+    strip = np.empty(n, np.int64)
+    strip[np.argsort(points[across])] = np.arange(n) * strips // n
+    order = np.lexsort((points[along], strip))
+    sizes = np.bincount(strip, minlength=strips)
+    inside = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    per_strip = -(-int(sizes.max()) // _SMALL_LEAF)
+    members = np.full((strips * per_strip, _SMALL_LEAF), -1)
+    members[strip[order] * per_strip + inside // _SMALL_LEAF, inside % _SMALL_LEAF] = order
+    return members[members[:, 0] >= 0]
+
+
+def _neighbours(lat: np.ndarray, lon: np.ndarray, stops: np.ndarray) -> Iterator[tuple[list[int], list[list[int]]]]:
+    """The stops in parts, and for each the nearest others among ``stops``, the first in input among equals.
+
+    A list has at most ``_NEAR`` of them and ends with -1. It holds only those that are surely nearer
+    than every stop it leaves out, so the first one not yet visited is the nearest of all not visited.
+    """
+    points = _unit_vectors(lat[stops], lon[stops])
+    members = _strips(points)
+    leaf_points = points[:, members]
+    low = np.where(members < 0, np.inf, leaf_points).min(axis=2)
+    high = np.where(members < 0, -np.inf, leaf_points).max(axis=2)
+    for begin in range(0, len(members), _AT_ONCE):
+        own = members[begin : begin + _AT_ONCE]
+        gap = np.maximum(low[:, None, :] - high[:, begin : begin + _AT_ONCE, None], 0.0)
+        gap = np.maximum(gap, low[:, begin : begin + _AT_ONCE, None] - high[:, None, :])
+        gap = np.einsum("kij,kij->ij", gap, gap)
+        outside = np.full(len(own), np.inf)
+        around = np.broadcast_to(np.arange(len(members)), gap.shape)
+        if len(members) > _AROUND:
+            around = np.argpartition(gap, _AROUND, axis=1)
+            outside = np.take_along_axis(gap, around[:, _AROUND : _AROUND + 1], axis=1)[:, 0]
+            around = around[:, :_AROUND]
+        others = members[around].reshape(len(own), -1)
+        # Squared chords; rounding is far below the margin that neighbours must keep.
+        chord = 2.0 - 2.0 * np.matmul(points[:, own].transpose(1, 2, 0), points[:, others].transpose(1, 0, 2))
+        chord[(others[:, None, :] < 0) | (others[:, None, :] == own[:, :, None])] = np.inf
+        others = np.broadcast_to(others[:, None, :], chord.shape)
+        limit = np.broadcast_to(outside[:, None], own.shape)
+        if chord.shape[2] > _NEAR:
+            chosen = np.argpartition(chord, _NEAR, axis=2)
+            beyond = np.take_along_axis(chord, chosen[:, :, _NEAR : _NEAR + 1], axis=2)[:, :, 0]
+            limit = np.minimum(limit, beyond)
+            others = np.take_along_axis(others, chosen[:, :, :_NEAR], axis=2)
+        real = own >= 0
+        one, near, limit = stops[own[real]], others[real], limit[real]
+        missing = (near < 0) | (near == own[real][:, None])
+        near = np.sort(np.where(missing, len(lat), stops[near]), axis=1)
+        known = np.minimum(near, len(lat) - 1)
+        km = _distance_km(lat[known], lon[known], lat[one][:, None], lon[one][:, None])
+        km[near == len(lat)] = np.inf
+        order = np.argsort(km, axis=1, kind="stable")
+        near, km = np.take_along_axis(near, order, axis=1), np.take_along_axis(km, order, axis=1)
+        reach = (2 * np.sin(np.minimum(km / _DIAMETER_KM, np.pi / 2))) ** 2
+        sure = np.isfinite(km) & (reach * _RELATIVE + _ABSOLUTE < limit[:, None])
+        near = np.where(np.logical_and.accumulate(sure, axis=1), near, -1)
+        yield one.tolist(), np.pad(near, ((0, 0), (0, 1)), constant_values=-1).tolist()
 
 
 def greedy_walk(
@@ -94,20 +159,33 @@ def greedy_walk(
     Returns the visited positions and the last location.
     """
     order, here = [], start
-    left = np.arange(len(lat))
+    left, flags = np.arange(len(lat)), bytearray(len(lat))
+    visited = np.frombuffer(flags, np.uint8)
+    near: list[list[int]] = [[-1]] * len(lat)
+    nearest_known = [-1]
+    bounded = np.isfinite(reach_km)
     while len(left):
-        # Leaves thin out as stops are visited, so they are built anew when half of them are gone.
-        leaves = _Leaves(lat, lon, left)
+        # Leaves and lists thin out as stops are visited, so they are built anew when half of them are gone.
+        leaves = _Leaves(lat, lon, left, visited)
+        for stops, lists in _neighbours(lat, lon, left):
+            for stop, known in zip(stops, lists):
+                near[stop] = known
         for _ in range(len(left) if len(left) <= _LEAF else len(left) // 2):
-            km, stop, leaf = leaves.nearest(here)
-            if order and np.isfinite(reach_km):
+            for stop in nearest_known:
+                if stop < 0 or not flags[stop]:
+                    break
+            if stop < 0:
+                stop = leaves.nearest(here)
+            if order and bounded:
+                km = _distance_km(lat[stop], lon[stop], *here)
                 from_start = _distance_km(np.asarray(here[0]), np.asarray(here[1]), *start)
                 if km * _RELATIVE >= reach_km - from_start:
                     return np.asarray(order, dtype=np.int64), here
             order.append(stop)
             here = (lat[stop], lon[stop])
-            leaves.remove(stop, leaf)
-        left = np.sort(np.concatenate(leaves.stops))
+            flags[stop] = 1
+            nearest_known = near[stop]
+        left = np.flatnonzero(visited == 0)
     return np.asarray(order, dtype=np.int64), here
 
 

@@ -108,8 +108,11 @@ def _walk_counted(stops: DataFrame, keys: list[str], depot, ties, limit: int) ->
 def _walk_short(stops: DataFrame, keys: list[str], depot, ties) -> DataFrame:
     # The window shuffles by route and sorts by block and tie-break; its number 1 marks each route's
     # first row, so that tasks can tell routes apart while they read the sorted rows as a stream.
+    # The number of tasks is given, as adaptive execution would join partitions until they have bytes
+    # enough: a walk takes far longer than reading its stops, and the last task would walk for all.
+    tasks = int(stops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     window = Window.partitionBy(*keys).orderBy("block", *ties)
-    ready = stops.withColumn("visit_seq", F.row_number().over(window))
+    ready = stops.repartition(tasks, *keys).withColumn("visit_seq", F.row_number().over(window))
     return ready.mapInArrow(partial(_sequence_batches, depot=depot), ready.schema)
 
 

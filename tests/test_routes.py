@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stopwise.constants import CITY_DEPOT
-from stopwise.operators import routes
+from stopwise.operators import greedy, routes
 from stopwise.operators.paths import route_legs, route_lengths, route_path
 from stopwise.operators.routes import route_stops
 
@@ -171,3 +172,38 @@ def test_rounds_write_what_they_visit(spark, tmp_path, monkeypatch):
     assert sum(rounds) == 400 and len(rounds) > 10
     assert places[0] == 400 and sum(places[1:]) <= 400 and all(2 * b <= a for a, b in zip(places, places[1:]))
     assert all(n <= 1 for name, n in written if name.startswith("load="))
+
+
+@pytest.mark.parametrize("layout", ["spread", "copies", "grid", "one place"])
+@pytest.mark.parametrize("size", [1, 12, 13, 150, 700])
+def test_a_walk_searches_rarely_and_takes_the_nearest(monkeypatch, size, layout):
+    rng = np.random.default_rng(size)
+    lat, lon = -3 - 2 * rng.random(size), -38 - 2.5 * rng.random(size)
+    if layout == "copies":
+        lat, lon = (x[rng.integers(0, size, size)] for x in (lat, lon))
+    elif layout == "grid":
+        lat, lon = -3 - rng.integers(0, 20, size) / 10, -38 - rng.integers(0, 20, size) / 10
+    elif layout == "one place":
+        lat[:], lon[:] = -3.5, -38.5
+    lat, lon = np.radians(lat), np.radians(lon)
+    start = tuple(np.radians(CITY_DEPOT))
+    searches, search = [], greedy._Leaves.nearest
+    monkeypatch.setattr(greedy._Leaves, "nearest", lambda self, here: searches.append(1) or search(self, here))
+    order, end = greedy.greedy_walk(lat, lon, start)
+
+    left, here, expected = list(range(size)), start, []
+    while left:
+        stop = left.pop(int(greedy._distance_km(lat[left], lon[left], *here).argmin()))
+        expected.append(stop)
+        here = (lat[stop], lon[stop])
+    assert order.tolist() == expected and end == here
+    if layout == "spread":
+        assert len(searches) <= 1 + size // 5
+
+
+def test_routes_are_walked_in_as_many_tasks_as_the_session_names(spark):
+    # A few kilobytes: by bytes alone, adaptive execution makes one task of them.
+    rows = [(f"r{i % 40}", i, -3.0 - i / 1000, -38.0, 1) for i in range(400)]
+    walked = route_stops(spark.createDataFrame(rows, COLUMNS), ["route"], CITY_DEPOT, ["customer_id"], rows_per_route=10)
+    tasks = walked.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
