@@ -19,8 +19,9 @@ from stopwise.constants import EARTH_RADIUS_KM
 _LEAF = 96
 # Routes up to this long are cheaper to walk side by side than one by one.
 SHORT = 256
-# Neighbours known of a stop, looked for in this many leaves of so many stops; leaves handled at once.
-_NEAR, _AROUND, _SMALL_LEAF, _AT_ONCE = 12, 9, 12, 64
+# Neighbours known of a stop, looked for in this many leaves of so many stops; leaves handled at once, and
+# the leaves around all these that are looked at.
+_NEAR, _AROUND, _SMALL_LEAF, _AT_ONCE, _WITHIN = 12, 9, 12, 64, 256
 _DIAMETER_KM = 2 * EARTH_RADIUS_KM
 # Safety margin for comparing a leaf bound, computed from unit vectors, with a measured distance.
 _RELATIVE, _ABSOLUTE = 1 + 1e-9, 1e-14
@@ -101,6 +102,13 @@ def _strips(points: np.ndarray) -> np.ndarray:
     return members[members[:, 0] >= 0]
 
 
+def _gaps(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: np.ndarray) -> np.ndarray:
+    """Squared chords that no point of a box and no point of another box are nearer than."""
+    gap = np.maximum(other_low[:, None, :] - high[:, :, None], low[:, :, None] - other_high[:, None, :])
+    np.maximum(gap, 0.0, out=gap)
+    return np.einsum("kij,kij->ij", gap, gap)
+
+
 def _neighbours(lat: np.ndarray, lon: np.ndarray, stops: np.ndarray) -> Iterator[tuple[list[int], list[list[int]]]]:
     """The stops in parts, and for each the nearest others among ``stops``, the first in input among equals.
 
@@ -114,15 +122,20 @@ def _neighbours(lat: np.ndarray, lon: np.ndarray, stops: np.ndarray) -> Iterator
     high = np.where(members < 0, -np.inf, leaf_points).max(axis=2)
     for begin in range(0, len(members), _AT_ONCE):
         own = members[begin : begin + _AT_ONCE]
-        gap = np.maximum(low[:, None, :] - high[:, begin : begin + _AT_ONCE, None], 0.0)
-        gap = np.maximum(gap, low[:, begin : begin + _AT_ONCE, None] - high[:, None, :])
-        gap = np.einsum("kij,kij->ij", gap, gap)
-        outside = np.full(len(own), np.inf)
-        around = np.broadcast_to(np.arange(len(members)), gap.shape)
-        if len(members) > _AROUND:
-            around = np.argpartition(gap, _AROUND, axis=1)
-            outside = np.take_along_axis(gap, around[:, _AROUND : _AROUND + 1], axis=1)[:, 0]
-            around = around[:, :_AROUND]
+        own_low, own_high = low[:, begin : begin + _AT_ONCE], high[:, begin : begin + _AT_ONCE]
+        within, outside = np.arange(len(members)), np.full(len(own), np.inf)
+        if len(members) > _WITHIN:
+            # The leaves nearest to all of these together; no other is nearer to one of them than the next.
+            gap = _gaps(own_low.min(axis=1)[:, None], own_high.max(axis=1)[:, None], low, high)[0]
+            within = np.argpartition(gap, _WITHIN)
+            outside = np.full(len(own), gap[within[_WITHIN]])
+            within = within[:_WITHIN]
+        around = np.broadcast_to(within, (len(own), len(within)))
+        if len(within) > _AROUND:
+            gap = _gaps(own_low, own_high, low[:, within], high[:, within])
+            chosen = np.argpartition(gap, _AROUND, axis=1)
+            beyond = np.take_along_axis(gap, chosen[:, _AROUND : _AROUND + 1], axis=1)[:, 0]
+            around, outside = within[chosen[:, :_AROUND]], np.minimum(outside, beyond)
         others = members[around].reshape(len(own), -1)
         # Squared chords; rounding is far below the margin that neighbours must keep.
         chord = 2.0 - 2.0 * np.matmul(points[:, own].transpose(1, 2, 0), points[:, others].transpose(1, 0, 2))
@@ -165,12 +178,12 @@ def greedy_walk(
     nearest_known = [-1]
     bounded = np.isfinite(reach_km)
     while len(left):
-        # Leaves and lists thin out as stops are visited, so they are built anew when half of them are gone.
+        # Leaves and lists thin out as stops are visited, so they are built anew when two thirds of them are gone.
         leaves = _Leaves(lat, lon, left, visited)
         for stops, lists in _neighbours(lat, lon, left):
             for stop, known in zip(stops, lists):
                 near[stop] = known
-        for _ in range(len(left) if len(left) <= _LEAF else len(left) // 2):
+        for _ in range(len(left) if len(left) <= _LEAF else len(left) * 2 // 3):
             for stop in nearest_known:
                 if stop < 0 or not flags[stop]:
                     break
@@ -218,13 +231,19 @@ def walk_side_by_side(
 def walk_blocks(lat: np.ndarray, lon: np.ndarray, block: np.ndarray, start: tuple[float, float]) -> np.ndarray:
     """Visit numbers of one route: block after block, each walk starting where the last one ended.
 
-    The stops come sorted by block and tie-break; coordinates are in radians.
+    The stops come sorted by block and tie-break; coordinates are in radians. Stops at the same place are
+    visited one after the other, first in input first, so the walk goes over distinct places.
     """
     visit = np.zeros(len(lat), dtype=np.int32)
     ends = [*(np.flatnonzero(block[1:] != block[:-1]) + 1), len(block)]
     begin, here = 0, start
     for end in ends:
-        order, here = greedy_walk(lat[begin:end], lon[begin:end], here)
-        visit[begin + order] = np.arange(begin + 1, end + 1)
+        at = lat[begin:end] + 1j * lon[begin:end]
+        first, place = np.unique(at, return_index=True, return_inverse=True)[1:]
+        in_input = np.argsort(first)
+        order, here = greedy_walk(lat[begin + first[in_input]], lon[begin + first[in_input]], here)
+        turn = np.empty(len(first), dtype=np.int64)
+        turn[in_input[order]] = np.arange(len(first))
+        visit[begin + np.argsort(turn[place], kind="stable")] = np.arange(begin + 1, end + 1)
         begin = end
     return visit

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -207,3 +208,43 @@ def test_routes_are_walked_in_as_many_tasks_as_the_session_names(spark):
     walked = route_stops(spark.createDataFrame(rows, COLUMNS), ["route"], CITY_DEPOT, ["customer_id"], rows_per_route=10)
     tasks = walked.select(F.spark_partition_id().alias("task")).distinct().count()
     assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_stops_at_the_same_place_are_visited_together_without_searching(monkeypatch):
+    rng = np.random.default_rng(5)
+    size = 600
+    places = np.radians([[-3.1, -38.1], [-3.2, -38.4], [-4.0, -39.0], [-3.1, -38.2]])
+    lat, lon = places[rng.integers(0, len(places), size)].T
+    block, start = np.repeat([1, 2], size // 2), (math.radians(-3.7), math.radians(-38.5))
+    searches, search = [], greedy._Leaves.nearest
+    monkeypatch.setattr(greedy._Leaves, "nearest", lambda self, here: searches.append(1) or search(self, here))
+    visit = greedy.walk_blocks(lat, lon, block, start)
+
+    here, expected = start, []
+    for stops in np.flatnonzero(block == 1), np.flatnonzero(block == 2):
+        left = stops.tolist()
+        while left:
+            stop = left.pop(int(greedy._distance_km(lat[left], lon[left], *here).argmin()))
+            expected.append(stop)
+            here = (lat[stop], lon[stop])
+    assert np.argsort(visit).tolist() == expected
+    assert len(searches) <= 2 * len(places)
+
+
+def test_neighbours_in_a_long_route_are_compared_with_what_is_around_only():
+    rng = np.random.default_rng(6)
+    size = 60_000
+    lat, lon = np.radians(rng.uniform(-5, -3, size)), np.radians(rng.uniform(-40, -38, size))
+    tracemalloc.start()
+    stops, lists = next(greedy._neighbours(lat, lon, np.arange(size)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * size
+    lengths = []
+    for stop, known in list(zip(stops, lists))[::25]:
+        known = known[: known.index(-1)]
+        distance = greedy._distance_km(lat, lon, lat[stop], lon[stop])
+        distance[stop] = np.inf
+        assert known == np.argsort(distance, kind="stable")[: len(known)].tolist()
+        lengths.append(len(known))
+    assert np.mean(lengths) > 6
